@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontaminate import find_leaks
 from .langid import identify
+from .mixing import TARGETS, label_domain, mix
+from .pii import pseudonymise
 from .quality_pu import score_quality
 from .quality_rules import judge
 from .secret_scan import scan_secrets
 from .token_counts import count_tokens
 
 
+#: Key of the surrogates in the registered query; callers use a secret of their own.
+PII_KEY = "corpusflow"
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -42,17 +48,30 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PII_KEY).withColumnRenamed("_found", "n_entities")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    made = mix(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+    return made.select("_row.doc_id", "_row.source", "n_tokens", "domain", "posterior", "rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op9_secret_scan": op9_secret_scan,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 DECONTAMINATION_SQL = r"""
