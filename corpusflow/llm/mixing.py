@@ -9,13 +9,14 @@ sum(r * tokens * posterior), match the targets in the least-squares sense
 
 In the metric that weighs documents by their tokens the step of a document is
 posterior . (share - target) / share(1); a step of 1 never overshoots, as the posteriors of
-a document sum to 1.  A round is one aggregate of a few numbers a document: the driver
+a document sum to 1.  Steps are accelerated by momentum.  A round is one aggregate of a few numbers a document: the driver
 holds the residual of each domain, and a document's rate is replayed from the residuals so
 far, so rounds write nothing and need no shuffle but that of a row for each task.
 
-The classifier sees hashed distinct words.  It is fitted on at most ``max_labelled``
+The classifier sees hashed distinct words and four figures of a text.  It is fitted on at most ``max_labelled``
 labelled documents chosen by a hash (that sample of ids is what is broadcast), with word
-counts by domain and bucket aggregated on the executors: domains * BUCKETS numbers.
+counts by domain and bucket aggregated on the executors: domains * BUCKETS numbers.  Only
+codes whose odds differ beyond chance are kept.
 
 Edge cases: null or empty text has no tokens and the prior as posterior; labels without a
 domain or a document count for nothing; a document labelled twice takes its least domain;
@@ -28,19 +29,39 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .decontaminate import let
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+BINS = 8
 CLIP = 4.0
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "#*$%&|<>!"
 
 
-def distinct_buckets(text: Column) -> Column:
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def evidence(text: Column) -> Column:
+    """Codes of a text: a bucket for each distinct word, and behind BUCKETS a bin for each figure
+    (share of marks, of capitals and of distinct words, and length)."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    share_without = lambda drop: 1 - F.length(F.translate(text, drop, "")) / F.greatest(F.length(text), F.lit(1))
+    log_bin = lambda x: F.floor(F.log2(1 + 200 * x))
+
+    def codes(w: Column, distinct: Column) -> Column:
+        values = [
+            log_bin(share_without(MARKS)),
+            log_bin(share_without(UPPER)),
+            F.floor(BINS * F.size(distinct) / F.greatest(F.size(w), F.lit(1))),
+            F.floor(F.log2(F.lit(1) + F.size(w)) / 2),
+        ]
+        figures = [F.lit(BUCKETS + BINS * i) + F.least(F.lit(BINS - 1), v.cast("int")) for i, v in enumerate(values)]
+        return F.concat(F.transform(distinct, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")), F.array(*figures))
+
+    return let(words, lambda w: let(F.array_distinct(w), lambda d: codes(w, d)))
 
 
 def token_count(text: Column) -> Column:
@@ -53,95 +74,116 @@ def numbers(values: list[float]) -> Column:
 
 @dataclass
 class DomainModel:
-    """Log odds of each bucket for each domain against the first, and the prior log odds."""
+    """Prior log odds of each domain against the first, and the log odds of the codes that tell."""
 
     domains: list[str]
     prior: list[float]
-    odds: list[list[float]]
-    sharpness: float
+    codes: list[int]
+    odds: list[list[float]]  # for each domain but the first, one for each of the codes
 
     def posterior(self, text: Column) -> Column:
         """array<double>, one for each domain, that sums to 1."""
         if len(self.domains) < 2:
             return F.array(*[F.lit(1.0) for _ in self.domains])
-        tables = [numbers(o) for o in self.odds]
+        known = F.array(*[F.lit(c) for c in self.codes])
 
-        def scores(b: Column) -> Column:
-            total = lambda table: F.aggregate(b, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
-            sums = [total(t) for t in tables]
-            return F.array(F.lit(0.0), *[F.lit(p) + F.lit(self.sharpness) * s for p, s in zip(self.prior[1:], sums)])
+        def scores(places: Column) -> Column:
+            total = lambda table: F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
+            return F.array(F.lit(0.0), *[F.lit(p) + total(numbers(o)) for p, o in zip(self.prior[1:], self.odds)])
 
         def soft(s: Column) -> Column:
             top = F.array_max(s)
             return let(F.transform(s, lambda x: F.exp(x - top)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
 
-        return let(let(distinct_buckets(text), scores), soft)
+        # Few codes of a text tell anything: a hash set picks them, and only they are looked up.
+        telling = F.filter(evidence(text), lambda c: c.isin(*self.codes) if self.codes else F.lit(False))
+        places = F.transform(telling, lambda c: (F.array_position(known, c) - 1).cast("int"))
+        return let(let(places, scores), soft)
 
 
 def fit_domains(
-    df: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, sharpness: float = 0.25
+    df: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000
 ) -> DomainModel:
     known = labels.select(F.col(id_col).alias("_id"), domain.alias("_domain")).filter("_id is not null and _domain is not null")
     known = known.groupBy("_id").agg(F.min("_domain").alias("_domain"))
     sizes = {r["_domain"]: r["count"] for r in known.groupBy("_domain").count().collect()}  # a row for each domain
     domains = sorted(sizes, key=lambda d: (-sizes[d], d))
     if len(domains) < 2:
-        return DomainModel(domains, [0.0] * len(domains), [], sharpness)
-    total = sum(sizes.values())
+        return DomainModel(domains, [0.0] * len(domains), [], [])
     draw = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(draw < max_labelled / total).limit(2 * max_labelled)
+    sample = known.filter(draw < max_labelled / sum(sizes.values())).limit(2 * max_labelled)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    seen = docs.select("_domain", F.explode(F.concat(distinct_buckets(F.col("_text")), F.array(F.lit(-1)))).alias("b"))
-    counts = [[0] * BUCKETS for _ in domains]
-    n = [0] * len(domains)
-    for r in seen.groupBy("_domain", "b").count().collect():  # at most domains * (BUCKETS + 1)
-        i = domains.index(r["_domain"])
-        if r["b"] < 0:
-            n[i] = r["count"]
-        else:
-            counts[i][r["b"]] = r["count"]
-    rate = lambda i, b: (counts[i][b] + 0.5) / (n[i] + 1)
-    odds = []
-    for i in range(1, len(domains)):
-        raw = [math.log(rate(i, b) / rate(0, b)) for b in range(BUCKETS)]
-        weak = [3 * math.sqrt(1 / (counts[i][b] + 0.5) + 1 / (counts[0][b] + 0.5)) for b in range(BUCKETS)]
-        # Only odds beyond chance count; the rest would drown them in long documents.
-        odds.append([max(-CLIP, min(CLIP, x)) / sharpness if abs(x) > w else 0.0 for x, w in zip(raw, weak)])
+    seen = docs.select("_domain", F.explode(evidence(F.col("_text"))).alias("c")).groupBy("_domain", "c").count()
+    size = BUCKETS + 4 * BINS
+    counts = np.zeros((len(domains), size))
+    for d, c, n in seen.collect():  # at most domains * size
+        counts[domains.index(d), c] = n
+    # Words are compared within all words of a domain, so that longer texts are no evidence; bins within their figure.
+    total = np.empty_like(counts)
+    total[:, :BUCKETS] = counts[:, :BUCKETS].sum(1, keepdims=True)
+    for i in range(BUCKETS, size, BINS):
+        total[:, i : i + BINS] = counts[:, i : i + BINS].sum(1, keepdims=True)
+    pooled = counts.sum(0) / np.maximum(total.sum(0), 1)
+    expected = total * pooled
+    telling = np.abs(counts - expected) > 6 * np.sqrt(expected + 0.5)  # beyond chance, as there are many codes
+    rate = (counts + 0.02 * expected + 1e-9) / (total * 1.02 + 1e-9)
+    raw = np.where((telling | telling[0]) & (pooled > 0), np.clip(np.log(rate / rate[0]), -CLIP, CLIP), 0.0)
+    codes = np.flatnonzero(np.abs(raw).max(0) > 0.3)
     prior = [math.log((sizes[d] + 1) / (sizes[domains[0]] + 1)) for d in domains]
-    return DomainModel(domains, prior, odds, sharpness)
+    return DomainModel(domains, prior, codes.tolist(), raw[1:, codes].tolist())
+
+
+def momentum(n: int) -> list[float]:
+    """Weights of the previous move before each of ``n`` steps (accelerated projected gradient)."""
+    out, t = [], 1.0
+    for _ in range(n):
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        out.append((t - 1) / after if out else 0.0)
+        t = after
+    return out
 
 
-def rate_after(posterior: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the given steps (a number for each domain), each projected to r >= 0."""
+def replay(posterior: Column, steps: list[list[float]], ahead: bool) -> Column:
+    """A document's rate after the given steps (a number for each domain), each projected to r >= 0.
+
+    ``ahead``: the point from which the next step starts, beyond the rate by the momentum."""
+    weights = momentum(len(steps) + 1)
     if not steps:
         return F.lit(1.0)
-    moves = F.expr("array(" + ",".join("array(" + ",".join(f"{x:.12g}D" for x in s) + ")" for s in steps) + ")")
+    rows = ",".join(f"named_struct('b', {b:.12g}D, 'g', array({','.join(f'{x:.12g}D' for x in s)}))" for b, s in zip(weights, steps))
     dot = lambda g: F.aggregate(F.zip_with(posterior, g, lambda p, x: p * x), F.lit(0.0), lambda a, y: a + y)
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+
+    def step(state: Column, move: Column) -> Column:
+        start = state["r"] + move["b"] * (state["r"] - state["q"])
+        return F.struct(F.greatest(F.lit(0.0), start - dot(move["g"])).alias("r"), state["r"].alias("q"))
+
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q"))
+    end = (lambda s: s["r"] + F.lit(weights[-1]) * (s["r"] - s["q"])) if ahead else (lambda s: s["r"])
+    return F.aggregate(F.expr(f"array({rows})"), start, step, end)
 
 
-def fit_rates(docs: DataFrame, targets: list[float], max_rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps of projected gradient descent over ``docs`` (n_tokens, posterior)."""
+def fit_rates(docs: DataFrame, targets: list[float], max_rounds: int = 40, tolerance: float = 1e-3) -> list[list[float]]:
+    """Steps of accelerated projected gradient descent over ``docs`` (n_tokens, posterior)."""
     size = len(targets)
     steps: list[list[float]] = []
+    loss: list[float] = []
     base = None
-    for _ in range(max_rounds + 1):
-        rate = rate_after(F.col("posterior"), steps)
-        weighed = docs.select((F.col("n_tokens") * rate).alias("t"), "n_tokens", "posterior")
+    while True:
+        weighed = docs.select((F.col("n_tokens") * replay(F.col("posterior"), steps, ahead=True)).alias("t"), "n_tokens", "posterior")
         row = weighed.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("t") * F.get("posterior", F.lit(i))).alias(f"d{i}") for i in range(size)]).first()
         if not row["n"]:
             return []
         share = [row[f"d{i}"] / row["n"] for i in range(size)]
         if base is None:
             base = share
-            live = [b > 0 for b in base]
-            scale = sum(t for t, a in zip(targets, live) if a) or 1.0
-            targets = [t / scale if a else 0.0 for t, a in zip(targets, live)]
+            scale = sum(t for t, b in zip(targets, base) if b > 0) or 1.0
+            targets = [t / scale if b > 0 else 0.0 for t, b in zip(targets, base)]
         residual = [s - t for s, t in zip(share, targets)]
-        if all(abs(x) <= tolerance * max(t, 1e-3) for x, t in zip(residual, targets)) or len(steps) == max_rounds:
-            break
+        loss.append(sum(x * x / b for x, b in zip(residual, base) if b > 0))
+        still = len(loss) > 5 and abs(loss[-6] - loss[-1]) <= tolerance * loss[-6]
+        if still or all(abs(x) <= tolerance * max(t, 0.01) for x, t in zip(residual, targets)) or len(steps) >= max_rounds:
+            return steps
         steps.append([x / b if b > 0 else 0.0 for x, b in zip(residual, base)])
-    return steps
 
 
 def mix(
@@ -151,7 +193,7 @@ def mix(
     targets: dict[str, float],
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_rounds: int = 60,
+    max_rounds: int = 40,
 ) -> DataFrame:
     """All columns of ``df`` in ``_row``, with n_tokens, domain (the likeliest), posterior and rate of every row.
 
@@ -171,7 +213,7 @@ def mix(
         "n_tokens",
         F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
         "posterior",
-        rate_after(F.col("posterior"), steps).alias("rate"),
+        replay(F.col("posterior"), steps, ahead=False).alias("rate"),
     )
 
 
