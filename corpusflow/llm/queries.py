@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontaminate import find_leaks
 from .langid import identify
+from .lm_pst import score
 from .mixing import TARGETS, label_domain, mix
+from .neardup import find_near_duplicates
 from .pii import pseudonymise
 from .quality_pu import score_quality
 from .quality_rules import judge
@@ -53,6 +55,14 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PII_KEY).withColumnRenamed("_found", "n_entities")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_lm_score": op8_lm_score,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mixing": op10_source_mixing,
 }
@@ -103,4 +115,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL}
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM pair JOIN size sx ON sx.doc_id = x JOIN size sy ON sy.doc_id = y WHERE 100 * c >= 75 * (sx.n + sy.n - c)
+), reach(doc_id, r) AS (
+  SELECT DISTINCT x, x FROM link UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.r
+), named AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL}
