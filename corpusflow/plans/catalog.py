@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import retrieval
 
+MODULES = (retrieval,)
 FLAGSHIP = "rrf_hybrid"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: f for m in MODULES for k, f in m.ORACLE_SQL.items()}
