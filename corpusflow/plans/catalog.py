@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import blocks, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, blocks)
 FLAGSHIP = "rrf_hybrid"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: f for m in MODULES for k, f in m.ORACLE_SQL.items()}
