@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 
-PAGE = Window.partitionBy("doc_id", "page_no").orderBy("reading_order")
-DOCUMENT = Window.partitionBy("doc_id").orderBy("page_no")
 LEAST_CHARS = 16
 
 
+def in_page() -> WindowSpec:
+    return Window.partitionBy("doc_id", "page_no").orderBy("reading_order")
+
+
+def in_document() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("page_no")
+
+
 def title_text() -> Column:
     return F.when(F.col("type") == "title", clean_text(F.col("text")))
 
@@ -24,9 +30,9 @@ def with_document_title(blocks: DataFrame) -> DataFrame:
 
 def section_title(title: Column, last_page: int) -> Column:
     """Last title in front of the block on its page, else the last one up to the page ``last_page`` pages off (0 or -1)."""
-    on_page = F.last(title, ignorenulls=True).over(PAGE.rowsBetween(Window.unboundedPreceding, -1))
+    on_page = F.last(title, ignorenulls=True).over(in_page().rowsBetween(Window.unboundedPreceding, -1))
     seen = F.when(title.isNotNull(), F.struct("page_no", "reading_order", title.alias("t")))
-    return F.coalesce(on_page, F.max(seen).over(DOCUMENT.rangeBetween(Window.unboundedPreceding, last_page))["t"])
+    return F.coalesce(on_page, F.max(seen).over(in_document().rangeBetween(Window.unboundedPreceding, last_page))["t"])
 
 
 def with_section_title(blocks: DataFrame) -> DataFrame:
@@ -49,8 +55,8 @@ def with_nearby_text(blocks: DataFrame, limit: int = 3) -> DataFrame:
     """Up to ``limit`` nearest texts and titles of 16 characters or more on the page, in reading order; null without any."""
     clean = clean_text(F.col("text"))
     usable = F.when(F.col("type").isin("text", "title") & (F.length(clean) >= LEAST_CHARS), clean)
-    before = F.collect_list(usable).over(PAGE.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(usable).over(PAGE.rowsBetween(1, Window.unboundedFollowing))
+    before = F.collect_list(usable).over(in_page().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.collect_list(usable).over(in_page().rowsBetween(1, Window.unboundedFollowing))
     tail = F.slice(before, F.greatest(F.lit(1), F.size(before) - limit + 1), limit)
     joined = lambda a: F.nullif(F.array_join(a, " "), F.lit(""))
     return blocks.withColumn("nearby_text_before", joined(tail)).withColumn("nearby_text_after", joined(F.slice(after, 1, limit)))
@@ -58,7 +64,7 @@ def with_nearby_text(blocks: DataFrame, limit: int = 3) -> DataFrame:
 
 def renumbered(blocks: DataFrame) -> DataFrame:
     """``reading_order`` from 1 without gaps on each page."""
-    return blocks.withColumn("reading_order", F.row_number().over(PAGE))
+    return blocks.withColumn("reading_order", F.row_number().over(in_page()))
 
 
 def without_lead(blocks: DataFrame) -> DataFrame:
