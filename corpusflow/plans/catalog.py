@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, chunks, retrieval
+from . import blocks, chunks, evaluation, retrieval
 
-MODULES = (retrieval, blocks, chunks)
+MODULES = (retrieval, blocks, chunks, evaluation)
 FLAGSHIP = "rrf_hybrid"
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: f for m in MODULES for k, f in m.ORACLE_SQL.items()}
