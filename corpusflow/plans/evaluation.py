@@ -25,6 +25,6 @@ QUERIES = {"eval_pass_counts": eval_pass_counts}
 ORACLE_SQL = {
     "eval_pass_counts": f"""WITH {BM25}, top AS (SELECT query, id FROM bm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5),
 c AS (SELECT item_id AS query, ({TOKENS})[1:3] AS keywords FROM benchmark WHERE item_id % 20 = 0),
-m AS (SELECT query, bool_or(len(list_filter(keywords, k -> contains(lower(lang || ' ' || text), k))) > 0) AS ok FROM top JOIN documents ON doc_id = id JOIN c USING (query) GROUP BY query)
+m AS (SELECT query, bool_or(len(list_filter(keywords, lambda k: contains(lower(lang || ' ' || text), k))) > 0) AS ok FROM top JOIN documents ON doc_id = id JOIN c USING (query) GROUP BY query)
 SELECT 'documents' AS corpus, count(*) FILTER (len(keywords) = 0 OR coalesce(ok, false)) AS passed, count(*) AS cases FROM c LEFT JOIN m USING (query)""",
 }
