@@ -105,29 +105,3 @@ def resumed(candidates: DataFrame, done: DataFrame, make) -> DataFrame:
     first = Window.partitionBy("chunk_id").orderBy("record_no")
     kept = done.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "record_no").join(candidates.select("chunk_id"), "chunk_id", "left_semi")
     return kept.unionByName(make(candidates.join(done, "chunk_id", "left_anti")))
-
-
-def choose_latex(candidates: list[tuple[str, Column]]) -> Column:
-    """The first candidate that renders and is not suspicious, else the first that is there: struct(latex, source)."""
-    clean = [F.when(c.isNotNull() & ~has_latex_errors(c) & ~is_suspicious_latex(c), F.struct(c.alias("latex"), F.lit(n).alias("source"))) for n, c in candidates]
-    there = [F.when(c.isNotNull(), F.struct(c.alias("latex"), F.lit(n).alias("source"))) for n, c in candidates]
-    return F.coalesce(*clean, *there)
-
-
-# Commands that formulas may use.
-KNOWN_COMMANDS = (
-    "alpha beta gamma delta epsilon theta lambda mu pi sigma phi psi omega sum prod int frac sqrt log exp max min "
-    "left right begin end text mathrm mathbf mathbb mathcal hat bar tilde vec cdot times leq geq neq approx infty partial nabla in "
-    "forall exists rightarrow leftarrow ldots quad operatorname"
-).split()
-
-
-def has_latex_errors(c: Column) -> Column:
-    """Unbalanced braces or pairs, or an unknown command; null counts as an error."""
-    n = lambda p: F.regexp_count(c, F.lit(p))
-    unknown = F.size(F.array_except(F.regexp_extract_all(c, F.lit(r"\\([A-Za-z]+)"), 1), F.array(*[F.lit(k) for k in KNOWN_COMMANDS]))) > 0
-    return F.coalesce((n(r"\{") != n(r"\}")) | (n(r"\\left") != n(r"\\right")) | (n(r"\\begin") != n(r"\\end")) | unknown, F.lit(True))
-
-
-def is_suspicious_latex(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"\\\\\s*\\\\|\{\s*\}|\^\s*$|_\s*$"), F.lit(False))
