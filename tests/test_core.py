@@ -188,3 +188,43 @@ def test_entry_without_the_optional_package():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert not re.search(r"\bllm\b", open(layout.__file__).read())
+
+
+def test_notebook_profile(spark):
+    from corpusflow.operators import notebook
+
+    rows = [
+        ("text", "In [3]: import pandas as pd", [0.0] * 4), ("text", "This is the mean of x = 3 in the data that we use.", [0.0] * 4), ("text", "0.5 1.0 1.5", [0.0] * 4),
+        ("text", "Frequency", [0.0] * 4), ("formula", "x = ( 1 )", [0.0] * 4), ("formula", None, [0.0] * 4), ("text", "abc", [0.0] * 4),
+    ]
+    got = {r.block_id[-1]: (r.type, r.text, r.formula_quality, r.reading_order) for r in notebook.post_process(page(spark, rows)).collect()}
+    assert got == {
+        "1": ("code", "import pandas as pd", None, 1), "2": ("text", "This is the mean of x = 3 in the data that we use.", None, 2),
+        "5": ("formula", "x = (1)", "good", 3), "6": ("formula", None, None, 4),
+    }
+
+
+def test_slide_profiles(spark):
+    from corpusflow.operators import slides
+
+    rows = [
+        ("title", "Head", [0.0, 0.0, 100.0, 20.0]), ("figure", None, [100.0, 100.0, 300.0, 300.0]), ("text", "Columbia University", [100.0, 500.0, 300.0, 520.0]),
+        ("text", "A sentence of content that stays wherever it is put.", [150.0, 150.0, 250.0, 200.0]), ("text", "-0.5", [90.0, 290.0, 99.0, 299.0]), ("formula", "y = 2", [100.0, 600.0, 200.0, 620.0]),
+    ]
+    papers = {r.block_id[-1] for r in slides.post_process_papers(page(spark, rows)).collect()}
+    assert papers == {"1", "2", "6"}
+    kept = slides.post_process_statistics(page(spark, rows)).orderBy("reading_order").collect()
+    assert [r.block_id[-1] for r in kept] == ["1", "2", "4", "6"] and [r.reading_order for r in kept] == [1, 2, 3, 4] and kept[3].formula_quality == "good"
+
+
+def test_enrichment_rules(spark):
+    from corpusflow.operators import enrich
+
+    assert column(spark, ["Deep nets and deep nets about x", "the of", None], lambda c: F.array_join(enrich.keywords(c), "|")) == ["Deep nets and deep nets", "", ""]
+    assert column(spark, ["gradient descent. Gradient descent! loss"], lambda c: F.array_join(enrich.keywords(c), "|")) == ["gradient descent|loss"]
+    assert column(spark, ["x", "(a, b)", "1/0", "score 3", "2-4", "x^2 + y^2 = 1", "5 days"], enrich.is_trivial_span) == [True, True, True, True, True, False, True]
+    assert column(spark, ["\\frac{a}{b}", "{", "\\zeta", None, ""], enrich.has_latex_errors) == [False, True, True, True, True]
+    e = "an explanation that is long enough to be of use"
+    assert column(spark, ["loss", "ab", "Head"], lambda c: enrich.usable_semantics(c, F.lit(e), F.lit("head"))) == [True, False, False]
+    blocks = F.array(*[F.struct(F.lit("text").alias("type"), F.lit(t).alias("text")) for t in ("or", "first real sentence here.", "second real sentence here")])
+    assert list(spark.range(1).select(enrich.context_of(blocks)).first()[0]) == ["first real sentence here", "second real sentence here"]
