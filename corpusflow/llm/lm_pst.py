@@ -228,6 +228,23 @@ def grow(train: DataFrame, head: Head, least_context: float, least_symbol: float
     return tree
 
 
+def frequent(vocabulary: DataFrame, most: int):
+    """The most frequent words, at most ``most``, as a pandas frame, most frequent first.
+
+    A histogram of the logarithm of the counts (a few hundred rows) gives the least count to take, so
+    that no more than the words taken reach the driver."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in vocabulary.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, taken = None, 0
+    for at, n in sizes:
+        taken += n
+        if taken > most:
+            break
+        least = at
+    picked = vocabulary.limit(0) if least is None else vocabulary.filter(step >= least)
+    return picked.toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+
+
 def score(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -247,7 +264,7 @@ def score(
     training = docs.filter("_train").select("text")
     vocabulary = stored(count_words(training))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(head_words).toPandas()
+    top = frequent(vocabulary, head_words)
     head = Head(top.word.tolist(), top.n.to_numpy(np.float64), int(total), int(distinct))
     tree = grow(training, head, least_context, least_symbol)
     shared = spark.sparkContext.broadcast((head, tree))
