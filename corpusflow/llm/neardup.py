@@ -13,8 +13,10 @@ similarity 0.75 misses every table with probability below 0.001, one of 0.85 bel
 3. In each table entry every class is paired with one centre only, the class whose half-keys
    are the most shared; pairs that the sketch does not rule out are verified on the full
    sets.  This joins groups in pairs linear in their size.
-4. What remains are pairs of one table entry whose components differ: these are verified as
-   well, all of them, so no link is lost that could change a component.
+4. What remains are pairs of one table entry whose components differ.  The shingles that no other
+   class in question has are counted; a class that has too many of its own to be similar to any,
+   and a pair of which one has too many for the other, is ruled out exactly.  All other pairs are
+   verified, so no link is lost that could change a component.
 5. Components come from large-star / small-star rounds on the verified links; every round is
    written to the shared folder.  Nothing but counts reaches the driver.
 
@@ -30,6 +32,7 @@ the nodes, so an id with two texts does not link them.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,6 +168,24 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_rows(both, start, fields("linked boolean"), ["ty", "tx"], ["x", "y"]).filter("linked").select("x", "y")
 
 
+def shared_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(digest, alone): shingles that no other of the given classes has, for classes with any.
+
+    Shingles are told apart by 32 bits: two that fall together only make ``alone`` smaller, which rules out less."""
+    schema = pa.schema([("digest", pa.binary()), ("s", pa.int32())])
+
+    def run(batches):
+        shingler = Shingler(size)
+        for batch in batches:
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.unique((shingler.shingles(text) >> U(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(s), pa.binary()), pa.array(s)], schema=schema)
+
+    each = texts.select("digest", "text").mapInArrow(run, "digest binary, s int").select(F.xxhash64("digest").alias("c"), "s")
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").groupBy("c").agg(F.count("*").alias("alone"))
+    return texts.select("digest", F.xxhash64("digest").alias("c")).join(alone, "c").select("digest", "alone")
+
+
 def sketches_agree(a: str, b: str) -> Column:
     differing = F.lit(0)
     for i in range(LONGS):
@@ -210,7 +231,7 @@ def find_near_duplicates(
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = stored(describe(docs, size))
     classes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("_id").alias("first_id"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")
+        F.min("_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")
     )
 
     # Shared half-keys, and the classes that share one on either side.
@@ -221,7 +242,7 @@ def find_near_duplicates(
         F.collect_list(F.when(F.col("place") >= M, F.col("h"))).alias("b"),
         F.sum("n").alias("weight"),
     )
-    alive = stored(met.filter("size(a) > 0 and size(b) > 0").join(classes.select("digest", "first_id", "sketch"), "digest"))
+    alive = stored(met.filter("size(a) > 0 and size(b) > 0").join(classes.select("digest", "first_id", F.col("n").alias("size"), "sketch"), "digest"))
     keys = (
         alive.select("digest", "weight", F.explode("a").alias("a"), "b")
         .select("digest", "weight", "a", F.explode("b").alias("b"))
@@ -251,14 +272,22 @@ def find_near_duplicates(
     links = stored(verified(stars, texts, size, percent))
     first = stored(components(links))
     # Pairs of a table entry that are still in different components.
-    placed = alive.select("digest", "sketch", "a", "b").join(first.withColumnRenamed("node", "digest"), "digest", "left")
-    placed = placed.select("digest", "sketch", F.coalesce("component", "digest").alias("component"), F.explode("a").alias("a"), "b")
-    placed = placed.select("digest", "sketch", "component", "a", F.explode("b").alias("b")).select("digest", "sketch", "component", F.xxhash64("a", "b").alias("key"))
+    placed = alive.select("digest", "a", "b").join(first.withColumnRenamed("node", "digest"), "digest", "left")
+    placed = placed.select("digest", F.coalesce("component", "digest").alias("component"), F.explode("a").alias("a"), "b")
+    placed = placed.select("digest", "component", "a", F.explode("b").alias("b")).select("digest", "component", F.xxhash64("a", "b").alias("key"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     still = stored(placed.join(open_keys, "key", "left_semi"))
-    left = still.select("key", F.col("digest").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
-    right = still.select("key", F.col("digest").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"))
-    met_again = left.join(right, (left["key"] == right["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sketches_agree("sx", "sy"))
+    able = alive.select("digest", "size", "sketch", "a", "b").join(shared_shingles(texts.join(still.select("digest").distinct(), "digest", "left_semi"), size), "digest", "left")
+    able = able.select("digest", "size", "sketch", "a", "b", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("met")).filter(F.col("met") * 100 >= F.col("size") * percent)
+    still_able = still.join(able, "digest")
+    side = lambda k: still_able.select("key", F.col("digest").alias(k), F.col("component").alias(f"c{k}"), F.col("sketch").alias(f"s{k}"), F.col("size").alias(f"n{k}"), F.col("met").alias(f"m{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
+    # What two sets have in common is at most what each has in common with any other; similarity p % needs p / (100 + p) of both sizes.
+    possible = F.least("mx", "my") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    # A pair comes from one table only, that of its least common halves.
+    home = F.xxhash64(F.array_min(F.array_intersect("ax", "ay")), F.array_min(F.array_intersect("bx", "by")))
+    met_again = side("x").join(side("y"), "key").filter(
+        (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & possible & sketches_agree("sx", "sy") & (F.col("key") == home)
+    )
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = met_again.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
     links_again = stored(verified(rest, texts, size, percent))
