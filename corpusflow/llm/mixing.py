@@ -129,8 +129,16 @@ def fit_domains(
     rate = (counts + 0.02 * expected + 1e-9) / (total * 1.02 + 1e-9)
     raw = np.where((telling | telling[0]) & (pooled > 0), np.clip(np.log(rate / rate[0]), -CLIP, CLIP), 0.0)
     codes = np.flatnonzero(np.abs(raw).max(0) > 0.3)
-    prior = [math.log((sizes[d] + 1) / (sizes[domains[0]] + 1)) for d in domains]
-    return DomainModel(domains, prior, codes.tolist(), raw[1:, codes].tolist())
+    odds = raw[1:, codes]
+    prior = np.array([math.log((sizes[d] + 1) / (sizes[domains[0]] + 1)) for d in domains])
+    # A telling word that is absent is evidence as well: its share goes into the prior and is taken off where it occurs.
+    n = total[:, BUCKETS : BUCKETS + 1]  # documents of a domain, as each has one bin of a figure
+    word = codes < BUCKETS
+    there = (counts[:, codes[word]] + 0.5) / (n + 1)
+    missing = np.log1p(-there) - np.log1p(-there[0])
+    prior += missing.sum(1)
+    odds[:, word] = np.clip(np.log(there / there[0]), -CLIP, CLIP)[1:] - missing[1:]
+    return DomainModel(domains, prior.tolist(), codes.tolist(), odds.tolist())
 
 
 def momentum(n: int) -> list[float]:
@@ -194,19 +202,21 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rounds: int = 40,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``df`` in ``_row``, with n_tokens, domain (the likeliest), posterior and rate of every row.
+    """The ``keep`` columns of ``df`` (all, if None) in ``_row``, with n_tokens, domain (the likeliest), posterior
+    and rate of every row.  All but the rate is computed once and written to the shared folder.
 
     ``targets``: share of the expected tokens for each domain; domains that are not named get none."""
     model = fit_domains(df, labels, domain, id_col, text_col)
     text = F.col(f"`{text_col}`")
     whole = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), token_count(text).alias("n_tokens"), model.posterior(text).alias("posterior")
+        F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row"), token_count(text).alias("n_tokens"), model.posterior(text).alias("posterior")
     )
     if not model.domains:
         return whole.select("_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
-    small = stored(whole.select("n_tokens", "posterior"))
-    steps = fit_rates(small, [targets.get(d, 0.0) for d in model.domains], max_rounds)
+    whole = stored(whole)
+    steps = fit_rates(whole, [targets.get(d, 0.0) for d in model.domains], max_rounds)
     names = F.array(*[F.lit(d) for d in model.domains])
     return whole.select("_row", "n_tokens", "posterior").select(
         "_row",

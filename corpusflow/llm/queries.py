@@ -68,8 +68,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    made = mix(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+    docs = read_table(spark, sf_dir, "documents")
+    made = mix(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS, keep=["doc_id", "source"])
     return made.select("_row.doc_id", "_row.source", "n_tokens", "domain", "posterior", "rate")
 
 
