@@ -4,23 +4,31 @@ Tokens are words (maximal runs without ASCII white space, A-Z lower-cased) and o
 each text.  The root of the tree is the smoothed unigram distribution
 (c + 0.1) / (N + 0.1 * (V + 1)), counted over every token of all training documents.
 
-Tree (contexts of one and two words):
+Tree (contexts of any number of words):
 
-* A context is a candidate if its share of the training tokens is at least ``least_context``,
-  so there are at most 1 / least_context of each length, whatever the corpus holds.
+* A context is a candidate for a symbol if the two were met together at least ``least`` times.
 * Divergence test: its next symbols are those whose count differs from what the context
-  without its first word expects by more than chance (``z`` deviations), among symbols of a
-  share of at least ``least_symbol``.  The context is kept if the likelihood gained by giving
-  these symbols their own probability, its count times the divergence, exceeds a cost of
-  log(N) for each of them.
+  without its first word expects by more than chance (``z`` deviations).  The context is kept
+  if the likelihood gained by giving these symbols their own probability, its count times the
+  divergence, exceeds a cost of log(N) for each of them.
 * Smoothing: such a symbol gets (c(s, w) + k * P(w | suffix)) / (c(s) + k), all others the
   suffix's probability times the factor that makes the sum 1.
 * A token is scored in the state of the longest kept context that ends in front of it.
 
-Candidates, tests and the tree are bounded by these shares and live on the driver; counts
-are gathered on the executors.  For scoring, the ``head`` most frequent words are broadcast
-(a fixed number of them); the rest are looked up by a join, one row for each document and
-distinct rare word, so no vocabulary is cut off.
+Contexts grow by one word in front as long as one can be kept.  Where the counts and probabilities
+behind ``s`` show that no longer context that ends in ``s`` passes the test (``extendable``), it
+isn't extended.  Until a longer context is kept the state stays, so this holds for all lengths
+and no context that would be kept is missed.
+
+The log of a probability over the root's is a sum over the sequences of words that end with the
+token or in front of it: each kept context adds its factor, each symbol listed there what it gets
+beyond that.  So the tree is one distributed table (sequence, value) and a document's score the
+sum over its sequences.  Sequences are named by 64-bit hashes.  Counts, tests and table stay on
+the executors; bitmaps of fixed size only spare sequences that can't count, a full one spares none.
+
+For scoring, the ``head`` most frequent words and the ``head_values`` most frequent sequences of
+the table are broadcast (fixed numbers of them); the rest are looked up by a join, one row for each
+document and distinct rare word or sequence, so neither vocabulary nor tree is cut off.
 
 Edge cases: null text is empty and scores its end; unknown words have the root's probability
 of a count of 0; without training documents every probability is 1; repeated rows are scored each.
@@ -28,6 +36,7 @@ of a count of 0; without training documents every probability is 1; repeated row
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,8 +47,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-END = "\n"  # no word
-ORDER = 2
+BITS = 26  # of a bitmap's size
+FLUSH = 1_500_000
+SALT = 0x5851F42D4C957F2D  # tells keys of words from those of sequences
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -98,75 +108,130 @@ class Head:
         return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
 
 
-@dataclass
-class Tree:
-    """Kept contexts of one word (ids) and two words (codes), with the log factor of the symbols
-    they do not list; listed (context, symbol) codes with the log of the ratio to the root."""
-
-    n_words: int  # ids below this are symbols of the tree
-    one: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    one_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    one_listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    one_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    two: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    two_rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    two_listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    two_ratio: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @staticmethod
-    def find(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Place in the sorted table, or -1."""
-        if not len(table):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-        return np.where(table[at] == codes, at, -1)
-
-    def level(self, state: np.ndarray, w: np.ndarray, rest: np.ndarray, listed: np.ndarray, ratio: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Log ratios to the root of symbols ``w`` in states (-1: not this level), from those of the suffix."""
-        here = (state >= 0) & (w >= 0)
-        at = np.where(here, self.find(listed, state * self.n_words + w), -1)
-        out = below + np.where(state >= 0, np.append(rest, 0.0)[state], 0.0)
-        return np.where(at >= 0, np.append(ratio, 0.0)[at], out)
-
-    def ratios(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 of P(token | its state) / P(token at the root) for each token of a text."""
-        w = np.where(codes < self.n_words, codes, -1)
-        before = np.concatenate([[-1], w[:-1]])
-        out = self.level(self.find(self.one, before), w, self.one_rest, self.one_listed, self.one_ratio, np.zeros(len(w)))
-        if len(self.two):
-            pair = np.where((before >= 0) & (np.concatenate([[-1], before[:-1]]) >= 0), np.concatenate([[-1], before[:-1]]) * self.n_words + before, -1)
-            out = self.level(self.find(self.two, pair), w, self.two_rest, self.two_listed, self.two_ratio, out)
-        return out
-
-
-def count_codes(train: DataFrame, head: Head, tree: Tree, least: int, contexts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (place of the context * n_words + symbol) seen at least ``least`` times behind the given contexts."""
-    shared = train.sparkSession.sparkContext.broadcast((head, contexts))
-    size = tree.n_words
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+class Hashes(dict):
+    """64-bit hash of each word, kept for two generations at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return made
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 500_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of sequences and one word behind each."""
+    a = before * np.uint64(0x9E3779B97F4A7C15) + word
+    a = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return a ^ (a >> np.uint64(29))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits at the upper BITS bits of the column ``key``."""
+    at = F.shiftrightunsigned("key", 64 - BITS)
+    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # at most 2 ** (BITS - 6) rows
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None):
+    """(ends, hashes) of the sequences of 1, 2, ... words all of whose words and pairs are marked."""
+    ends = np.flatnonzero(marked(words, w))
+    hashes = w[ends]
+    linked = None
+    while len(ends):
+        yield ends, hashes
+        # A sequence that ends one word earlier and may be followed by this one.
+        go = ends[:-1][np.diff(ends) == 1] if linked is None else None
+        if linked is None:
+            place = np.full(len(w), -1)
+            place[ends] = np.arange(len(ends))
+            nxt = go + 1
+            both = longer(hashes[place[go]], w[nxt])
+            if pairs is not None:
+                ok = marked(pairs, both)
+                nxt, both = nxt[ok], both[ok]
+            linked = np.zeros(len(w), bool)
+            linked[nxt] = True
+            ends, hashes = nxt, both
+        else:
+            go = (ends + 1 < len(w)) & linked[np.minimum(ends + 1, len(w) - 1)]
+            ends, hashes = ends[go] + 1, longer(hashes[go], w[ends[go] + 1])
+
+
+def count_sequences(train: DataFrame, length: int, words, pairs, extended, listed) -> DataFrame:
+    """(key, context, shorter, n): symbols behind contexts of ``length`` words, and with null ``shorter`` the
+    contexts themselves, whose ends are marked in ``extended`` and ``listed`` (None: all)."""
+    shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, listed))
+    schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        own, table = shared.value
+        words, pairs, extended, listed = shared.value
+        hashes = Hashes()
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        size = 0
+
+        def made():
+            none = np.zeros(0, np.uint64)
+            grams, contexts, shorter, alone = (np.concatenate(x) if x else none for x in held)
+            for x in held:
+                x.clear()
+            g, at, n = np.unique(grams, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g.view(np.int64)), pa.array(contexts[at].view(np.int64)), pa.array(shorter[at].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema
+            )
+            c, n = np.unique(alone, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64()), pa.array(n.astype(np.int64))], schema=schema)
+
         for batch in batches:
-            parts = []
             for text in batch.column(0).to_pylist():
-                c = own.codes(tokens(text))
-                w = np.where(c < size, c, -1)
-                context = w[length - 1 : -1] if length == 1 else np.where((w[:-2] >= 0) & (w[1:-1] >= 0), w[:-2] * size + w[1:-1], -1)
-                symbol = w[length:]
-                at = Tree.find(table, context)
-                ok = (at >= 0) & (symbol >= 0)
-                parts.append(at[ok] * size + symbol[ok])
-            code, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], schema=schema)
-
-    counted = train.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    table = counted.orderBy("code").toPandas()
-    return table.code.to_numpy(np.int64), table.n.to_numpy(np.float64)
+                w = hashes.of(tokens(text))
+                levels = []
+                for k, level in enumerate(runs(w, words, pairs), 1):
+                    levels = [*levels, level][-3:]
+                    if k == length + 1:
+                        break
+                else:
+                    k = len(levels) and k
+                if k < length:
+                    continue
+                if k == length:
+                    levels.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+                (ends, own), (gram_ends, grams) = levels[-2:]
+                at = np.zeros(len(w), np.uint64)
+                at[ends] = own
+                context, short = at[gram_ends - 1], at[gram_ends]
+                if length == 1:
+                    held[0].append(grams), held[1].append(context), held[2].append(short)
+                else:
+                    ok = marked(listed, short)
+                    held[0].append(grams[ok]), held[1].append(context[ok]), held[2].append(short[ok])
+                    last = np.zeros(len(w), np.uint64)
+                    last[levels[-3][0]] = levels[-3][1]
+                    alone = own[(ends < len(w) - 1) & marked(extended, last[ends])]
+                    held[3].append(alone)
+                    size += len(alone)
+                size += len(held[0][-1])
+            if size > FLUSH:
+                yield from made()
+                size = 0
+        yield from made()
+
+    counted = train.select("text").mapInArrow(run, "key long, context long, shorter long, n long")
+    return counted.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
 
 
 def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total: int, z: float, pull: float):
-    """Divergence test.  ``suffix(place, symbols)``: probabilities behind the context without its first word.
+    """Divergence test of ``grow`` on arrays.  ``suffix(place, symbols)``: probabilities behind the context without its first word.
 
     Returns places of kept contexts, log factors of their other symbols, and listed codes with probabilities."""
     places, rests, listed, probability = [], [], [], []
@@ -193,56 +258,137 @@ def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total
     return places, rests, listed
 
 
-def grow(train: DataFrame, head: Head, least_context: float, least_symbol: float, z: float = 6.0, pull: float = 20.0, least: int = 10) -> Tree:
-    counts = head.counts
-    size = int((counts >= max(least_symbol * head.total, 1)).sum())
-    tree = Tree(max(size, 1))
-    root = (counts[:size] + 0.1) / (head.total + 0.1 * (head.distinct + 1))
-    end = head.index().get(b"\n", -1)
-    candidates = np.array([i for i in range(size) if counts[i] >= least_context * head.total and i != end], np.int64)
-    if not len(candidates):
-        return tree
-    codes, n = count_codes(train, head, tree, least, candidates, 1)
-    places, rests, listed = kept_contexts(codes, n, size, counts[candidates], lambda _, s: root[s], head.total, z, pull)
-    tree.one, tree.one_rest = candidates[places], np.array(rests)
-    tree.one_listed = np.concatenate([i * size + s for i, (s, _) in enumerate(listed)]) if listed else tree.one_listed
-    tree.one_ratio = np.concatenate([np.log10(p / root[s]) for s, p in listed]) if listed else tree.one_ratio
-
-    # Two-word candidates are pairs counted above that are frequent enough themselves.
-    often = (n >= max(least_context * head.total, least)) & (codes % size != end)
-    pairs, pair_counts = candidates[codes[often] // size] * size + codes[often] % size, n[often]
-    order = np.argsort(pairs)
-    pairs, pair_counts = pairs[order], pair_counts[order]
-    if not len(pairs):
-        return tree
-
-    def suffix(place: int, s: np.ndarray) -> np.ndarray:
-        state = np.full(len(s), tree.find(tree.one, pairs[place : place + 1] % size)[0])
-        return root[s] * 10 ** tree.level(state, s, tree.one_rest, tree.one_listed, tree.one_ratio, np.zeros(len(s)))
-
-    codes, n = count_codes(train, head, tree, least, pairs, 2)
-    places, rests, listed = kept_contexts(codes, n, size, pair_counts, suffix, head.total, z, pull)
-    tree.two, tree.two_rest = pairs[places], np.array(rests)
-    tree.two_listed = np.concatenate([i * size + s for i, (s, _) in enumerate(listed)]) if listed else tree.two_listed
-    tree.two_ratio = np.concatenate([np.log10(p / root[s]) for s, p in listed]) if listed else tree.two_ratio
-    return tree
+def grow(
+    train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, least_context: float = 0.0, least_symbol: float = 0.0,
+    z: float = 6.0, pull: float = 20.0, least: int = 10,
+) -> tuple[DataFrame | None, int, np.ndarray | None, np.ndarray | None]:
+    """Table (key, value, n) of the tree, most words of a sequence in it, bitmaps of its words and pairs."""
+    cost = float(np.log(max(total, 2)))
+    few, rare = max(least, least_context * total), max(least, least_symbol * total)
+    listed = stored(
+        hashed(vocabulary.filter(F.col("n") >= min(few, rare))).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
+    )
+    words, pairs, extended, symbols = bitmap(listed), None, None, None
+    values, length = [], 0
+    while True:
+        length += 1
+        counted = stored(count_sequences(train, length, words, pairs, extended, symbols).filter(F.col("n") >= least))
+        whole = listed.select("key", "n") if length == 1 else counted.filter("shorter is null").select("key", "n")
+        below = listed.filter(F.col("n") >= rare) if length == 1 else listed
+        met = (
+            counted.filter("shorter is not null").join(below.select(F.col("key").alias("shorter"), F.col("p").alias("q")), "shorter")
+            .join(whole.filter(F.col("n") >= few).select(F.col("key").alias("context"), F.col("n").alias("whole")), "context")
+        )
+        expected = F.col("whole") * F.col("q")
+        met = met.withColumn("odd", F.abs(F.col("n") - expected) > z * F.sqrt(expected + 1))
+        met = stored(met.withColumn("own", (F.col("n") + pull * F.col("q")) / (F.col("whole") + pull)))
+        if met.isEmpty():
+            break
+        odd = lambda c: F.sum(F.when(F.col("odd"), c).otherwise(0.0))
+        tested = met.groupBy("context").agg(
+            F.first("whole").alias("all"), (1 - odd(F.col("own"))).alias("left"), (1 - odd(F.col("q"))).alias("before"), odd(F.lit(1.0)).alias("kinds"),
+            odd(F.col("own") * F.log(F.col("own") / F.col("q"))).alias("gain"),
+        )
+        tested = tested.filter("kinds > 0 and left > 0 and before > 0").withColumn("factor", F.col("left") / F.col("before"))
+        tested = stored(tested.filter(F.col("all") * (F.col("gain") + F.col("left") * F.log("factor")) >= F.col("kinds") * cost))
+        listed = met.join(tested.select("context", "factor"), "context", "left").withColumn("own", F.when(F.col("odd") & F.col("factor").isNotNull(), F.col("own")))
+        listed = stored(listed.withColumn("p", F.coalesce("own", F.col("q") * F.coalesce("factor", F.lit(1.0)))).select("key", "context", "n", "whole", "q", "p", "own", "factor"))
+        values.append(tested.select(F.col("context").alias("key"), F.log10("factor").alias("value"), F.col("all").alias("n")))
+        values.append(listed.filter("own is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.log10("factor")).alias("value"), "n"))
+        worth = stored(extendable(listed, z, pull, least, cost))
+        if length == 1:
+            pairs = bitmap(listed)
+        extended, symbols = bitmap(worth.select(F.col("context").alias("key"))), bitmap(listed.join(worth, "context", "left_semi"))
+        if not symbols.any():
+            length += 1
+            break
+    if not values:
+        return None, 0, words, pairs
+    table = values[0]
+    for more in values[1:]:
+        table = table.unionByName(more)
+    return stored(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))), length, words, pairs
+
+
+def extendable(listed: DataFrame, z: float, pull: float, least: int, cost: float) -> DataFrame:
+    """(context) of those with a longer one that may be kept.
+
+    A longer context's gain is convex in its shares, so it is at most the sum over its symbols of what a
+    context with that symbol alone gains; each count is at most that of the shorter one.  One symbol at least
+    must differ by more than chance: above what is expected or, with others in its place, below."""
+    n, whole, q = F.col("n"), F.col("whole"), F.col("p")
+    pure = whole / (whole + pull)
+    most = lambda q: (pure + (1 - pure) * q) * F.log(pure / q + 1 - pure) + (1 - pure) * (1 - q) * F.log(1 - pure)
+    above = whole * (1 - q) > z * F.sqrt(whole * q + 1)
+    below = (whole * q - least > z * F.sqrt(whole * q + 1)) & (whole - n > z)
+    by = listed.groupBy("context").agg(
+        F.sum(n * most(q)).alias("gain"), F.first("whole").alias("whole"), (F.first("whole") - F.sum("n")).alias("others"),
+        F.greatest(1 - F.sum("p"), F.lit(1e-12)).alias("p"), F.max(above | below).alias("odd"),
+    )
+    return by.filter(F.col("odd") & (F.col("gain") + F.col("others") * most(q) >= cost)).select("context")
 
 
-def frequent(vocabulary: DataFrame, most: int):
-    """The most frequent words, at most ``most``, as a pandas frame, most frequent first.
+def hashed(vocabulary: DataFrame) -> DataFrame:
+    """(key, n) of (word, n)."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            made = Hashes().of([w.encode() if w != "\n" else b"\n" for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), batch.column(1)], schema=schema)
+
+    return vocabulary.select("word", "n").mapInArrow(run, "key long, n long")
+
+
+def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the largest ``n``, at most ``most`` of them, and the others.
 
     A histogram of the logarithm of the counts (a few hundred rows) gives the least count to take, so
-    that no more than the words taken reach the driver."""
+    that no more than the rows taken reach the driver."""
     step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["step"], r["count"]) for r in vocabulary.groupBy(step.alias("step")).count().collect()), reverse=True)
+    sizes = sorted(((r["step"], r["count"]) for r in table.groupBy(step.alias("step")).count().collect()), reverse=True)
     least, taken = None, 0
     for at, n in sizes:
         taken += n
         if taken > most:
             break
         least = at
-    picked = vocabulary.limit(0) if least is None else vocabulary.filter(step >= least)
-    return picked.toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+    if least is None:
+        return table.limit(0), table
+    return table.filter(step >= least), table.filter(step < least)
+
+
+def frequent(vocabulary: DataFrame, most: int):
+    """The most frequent words, at most ``most``, as a pandas frame, most frequent first."""
+    return most_frequent(vocabulary, most)[0].toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+
+
+@dataclass
+class Values:
+    """The most frequent sequences of the tree, sorted, with their values; a bitmap of the others."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    others: np.ndarray | None
+    length: int
+    words: np.ndarray | None
+    pairs: np.ndarray | None
+
+    def of(self, w: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Sum of the values of a text's sequences that are here, and keys to look up."""
+        total, asked = 0.0, []
+        if not self.length:
+            return total, asked
+        for k, (_, keys) in enumerate(runs(w, self.words, self.pairs), 1):
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            there = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            total += float(self.values[at[there]].sum())
+            if self.others is not None:
+                rest = keys[~there]
+                asked.append(rest[marked(self.others, rest)])
+            if k == self.length:
+                break
+        return total, asked
 
 
 def score(
@@ -252,11 +398,13 @@ def score(
     train: Column | None = None,
     held_out: Column | None = None,
     head_words: int = 250_000,
-    least_context: float = 1e-4,
-    least_symbol: float = 1e-5,
+    least_context: float = 0.0,
+    least_symbol: float = 0.0,
+    head_values: int = 1_000_000,
 ) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score (root only) and score of every row; ``held_out`` defaults
-    to the ids whose crc32 modulo 10 is 0, ``train`` to the others."""
+    to the ids whose crc32 modulo 10 is 0, ``train`` to the others.  Contexts and symbols below a share of
+    ``least_context`` or ``least_symbol`` are left out; by default none is."""
     spark = df.sparkSession
     held_out = fold(F.col(id_col), 10) == 0 if held_out is None else held_out
     train = ~held_out if train is None else train
@@ -266,15 +414,26 @@ def score(
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = frequent(vocabulary, head_words)
     head = Head(top.word.tolist(), top.n.to_numpy(np.float64), int(total), int(distinct))
-    tree = grow(training, head, least_context, least_symbol)
-    shared = spark.sparkContext.broadcast((head, tree))
-    names = ["row", "_id", "held_out", "key", "n", "first", "tokens", "known", "base", "ratio"]
-    types = [pa.int64(), None, pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol)
+    lookup = hashed(vocabulary).select(F.col("key").bitwiseXOR(F.lit(SALT)).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
+    model = Values(np.zeros(0, np.uint64), np.zeros(0), None, 0, None, None)
+    if tree is not None:
+        here, others = most_frequent(tree, head_values)
+        found = here.select("key", "value").toArrow()
+        keys = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        model = Values(keys[order], found.column("value").to_numpy()[order], None if others.isEmpty() else bitmap(others), length, words, pairs)
+        if model.others is not None:
+            lookup = lookup.unionByName(others.select("key", F.lit(None).cast("long").alias("c"), "value"))
+    shared = spark.sparkContext.broadcast((head, model))
+    names = ["row", "_id", "held_out", "key", "n", "kind", "tokens", "known", "base", "ratio"]
+    types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     id_type = docs.schema["_id"].dataType
 
     def run(batches):
         own, model = shared.value
         logs = own.log_root(own.counts)
+        hashes = Hashes()
         for batch in batches:
             rows = {k: [] for k in names}
 
@@ -282,29 +441,39 @@ def score(
                 for k, v in zip(names, values):
                     rows[k].append(v)
 
+            def ask(row, kind, keys):
+                keys, n = np.unique(keys, return_counts=True)
+                m = len(keys)
+                for k, v in zip(names, ([row] * m, [None] * m, [None] * m, keys.view(np.int64).tolist(), n.tolist(), [kind] * m, [0] * m, [0] * m, [0.0] * m, [0.0] * m)):
+                    rows[k].extend(v)
+
             for row, doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = tokens(text)
                 codes = own.codes(words)
+                w = hashes.of(words)
                 there = codes >= 0
-                add(row, doc_id, held, f"\t{row}", 0, True, len(codes), int(there.sum()), float(logs[codes[there]].sum()), float(model.ratios(codes).sum()))
+                ratio, asked = model.of(w)
+                add(row, doc_id, held, row, 0, 0, len(codes), int(there.sum()), float(logs[codes[there]].sum()), ratio)
                 if not there.all():
-                    rare = Counter([words[i] for i in np.flatnonzero(~there)])
-                    for w, n in rare.items():
-                        add(row, None, None, w.decode("utf-8", "replace"), n, False, 0, 0, 0.0, 0.0)
+                    ask(row, 1, w[~there] ^ np.uint64(SALT))
+                for keys in asked:
+                    if len(keys):
+                        ask(row, 2, keys)
             arrays = [pa.array(rows[k], type=t or batch.column(1).type) for k, t in zip(names, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    ddl = f"row long, _id {id_type.simpleString()}, held_out boolean, key string, n long, first boolean, tokens long, known long, base double, ratio double"
+    ddl = f"row long, _id {id_type.simpleString()}, held_out boolean, key long, n long, kind int, tokens long, known long, base double, ratio double"
     parts = docs.select(F.monotonically_increasing_id().alias("row"), "_id", "held_out", "text").mapInArrow(run, ddl)
-    looked_up = parts.join(vocabulary.select(F.col("word").alias("key"), F.col("n").alias("c")), "key", "left")
+    looked_up = parts.join(lookup, "key", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(total) + 0.1 * (distinct + 1)))
+    word = F.col("kind") == 1
     sums = looked_up.groupBy("row").agg(
         F.max("_id").alias("_id"),
         F.max("held_out").alias("held_out"),
         F.sum("tokens").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(~F.col("first") & F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.when(~F.col("first"), F.col("n") * log).otherwise(0.0))).alias("base_score"),
-        F.sum("ratio").alias("ratio"),
+        (F.sum("known") + F.sum(F.when(word & F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
+        (F.sum("base") + F.sum(F.when(word, F.col("n") * log).otherwise(0.0))).alias("base_score"),
+        (F.sum("ratio") + F.sum(F.when(F.col("kind") == 2, F.col("n") * F.coalesce("value", F.lit(0.0))).otherwise(0.0))).alias("ratio"),
     )
     return sums.select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score",

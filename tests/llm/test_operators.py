@@ -274,6 +274,60 @@ def test_lm_score(spark):
     assert lm_pst.score(table(spark, [])).count() == 0
 
 
+def plain_tree(words, root, total, least=10, z=6.0, pull=20.0):
+    """Log10 of P(token | longest kept context) / P(token at the root), summed for each text: every context of any length is tested."""
+    symbols = sorted(root)
+    code = {x: i for i, x in enumerate(symbols)}
+    size, own = len(symbols), {}
+
+    def log_ratio(context, w):
+        for k in range(len(context) + 1):
+            s = context[k:]
+            if s in own:
+                rest, listed = own[s]
+                return listed[w] - math.log10(root[w]) if w in listed else rest + log_ratio(s[1:], w)
+        return 0.0
+
+    for length in range(1, 40):
+        behind, often = collections.Counter(), collections.Counter()
+        for text in words:
+            for i in range(length, len(text)):
+                behind[tuple(text[i - length : i])] += 1
+                often[tuple(text[i - length : i + 1])] += 1
+        by = collections.defaultdict(list)
+        for s, n in often.items():
+            if n >= least:
+                by[s[:-1]].append((code[s[-1]], n))
+        found = {}
+        for s, pairs in by.items():
+            pairs.sort()
+            suffix = lambda _, c: np.array([root[symbols[x]] * 10 ** log_ratio(s[1:], symbols[x]) for x in c])  # noqa: B023, E731
+            places, rests, listed = lm_pst.kept_contexts(np.array([c for c, _ in pairs]), np.array([n for _, n in pairs], float), size, np.array([float(behind[s])]), suffix, total, z, pull)
+            if places:
+                found[s] = rests[0], {symbols[c]: math.log10(p) for c, p in zip(*map(np.ndarray.tolist, listed[0]))}
+        own.update(found)
+    longest = max(map(len, own), default=0)
+    return own, lambda text: sum(log_ratio(tuple(text[max(0, i - longest) : i]), w) for i, w in enumerate(text))
+
+
+@pytest.mark.parametrize("head_values", [1_000_000, 30])
+def test_lm_tree_has_no_fixed_size(spark, head_values):
+    rng = random.Random(29)
+    verses = ["la li lo one", "lo li lo two", "la ka la li lo three", "ka ka la li lo four"]  # told apart three to five words back only
+    texts = [" ".join(rng.choice([*verses, f"w{rng.randrange(9)}", f"w{rng.randrange(9)} v{rng.randrange(30)}"]) for _ in range(30)) for _ in range(200)] + EDGES
+    words = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
+    train = [w for i, w in enumerate(words) if fold_of(i, 10)]
+    count = collections.Counter(x for w in train for x in w)
+    total = sum(count.values())
+    root = {x: (count[x] + 0.1) / (total + 0.1 * (len(count) + 1)) for w in words for x in w}
+    own, ratio = plain_tree(train, root, total)
+    assert max(map(len, own)) > 2
+    got = by_id(lm_pst.score(table(spark, texts), head_words=20, head_values=head_values), "base_score", "score")
+    for i, w in enumerate(words):
+        if i != EDGES.index(LONG) + 200:
+            assert got[i][1] - got[i][0] == pytest.approx(ratio(w), abs=1e-6)
+
+
 def test_suffix_tree_probabilities_sum_to_one():
     size, rng = 6, np.random.default_rng(1)
     root = rng.dirichlet(np.ones(size))
