@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored
 
-BITS = 26  # of a bitmap's size
+BITS = 26  # of the largest bitmap
 FLUSH = 1_500_000
 SALT = 0x5851F42D4C957F2D  # tells keys of words from those of sequences
 
@@ -129,17 +129,18 @@ def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits at the upper BITS bits of the column ``key``."""
-    at = F.shiftrightunsigned("key", 64 - BITS)
-    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 as int))")).alias("bits"))
+    """Bits at the upper bits of the column ``key``: 16 or more for each key, but 2 ** BITS at most."""
+    bits = min(BITS, max(10, int(keys.count() * 16).bit_length()))
+    at = F.shiftrightunsigned("key", 64 - bits)
+    words = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")).alias("bits"))
     found = words.toArrow()  # at most 2 ** (BITS - 6) rows
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+    at = (keys >> np.uint64(59 - len(bits).bit_length())).astype(np.int64)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
@@ -168,11 +169,42 @@ def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None):
             ends, hashes = ends[go] + 1, longer(hashes[go], w[ends[go] + 1])
 
 
+def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) -> DataFrame:
+    """Arrays of the hashes of words of the stretches in which contexts of more than ``length`` words can end."""
+    shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, symbols))
+
+    def run(batches):
+        words, pairs, extended, symbols = shared.value
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                w = hashes.of(tokens(text))
+                first, last = np.ones(len(w), bool), np.zeros(len(w), bool)
+                for k, (ends, keys) in enumerate(runs(w, words, pairs), 1):
+                    if k == 2:
+                        first[ends] = False
+                    if k == length:
+                        last[ends[marked(extended, keys)]] = True
+                    if k == length + 1:
+                        last[ends[marked(symbols, keys)]] = True
+                        break
+                starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+                if len(ends):
+                    chain = np.searchsorted(starts, ends, "right") - 1
+                    final = np.r_[chain[1:] != chain[:-1], True]
+                    out += [w[starts[c] : e + 1].view(np.int64) for c, e in zip(chain[final], ends[final])]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["w"])
+
+    return train.select("text").mapInArrow(run, "w array<bigint>")
+
+
 def count_sequences(train: DataFrame, length: int, words, pairs, extended, listed) -> DataFrame:
-    """(key, context, shorter, n): symbols behind contexts of ``length`` words, and with null ``shorter`` the
+    """(key, context, shorter, n) of texts or stretches: symbols behind contexts of ``length`` words, and with null ``shorter`` the
     contexts themselves, whose ends are marked in ``extended`` and ``listed`` (None: all)."""
     shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, listed))
     schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
+    whole = train.columns == ["text"]
 
     def run(batches):
         words, pairs, extended, listed = shared.value
@@ -194,7 +226,7 @@ def count_sequences(train: DataFrame, length: int, words, pairs, extended, liste
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                w = hashes.of(tokens(text))
+                w = hashes.of(tokens(text)) if whole else np.array(text, np.int64).view(np.uint64)
                 levels = []
                 for k, level in enumerate(runs(w, words, pairs), 1):
                     levels = [*levels, level][-3:]
@@ -217,7 +249,7 @@ def count_sequences(train: DataFrame, length: int, words, pairs, extended, liste
                     held[0].append(grams[ok]), held[1].append(context[ok]), held[2].append(short[ok])
                     last = np.zeros(len(w), np.uint64)
                     last[levels[-3][0]] = levels[-3][1]
-                    alone = own[(ends < len(w) - 1) & marked(extended, last[ends])]
+                    alone = own[marked(extended, last[ends])]  # an end of text is in no context
                     held[3].append(alone)
                     size += len(alone)
                 size += len(held[0][-1])
@@ -226,7 +258,7 @@ def count_sequences(train: DataFrame, length: int, words, pairs, extended, liste
                 size = 0
         yield from made()
 
-    counted = train.select("text").mapInArrow(run, "key long, context long, shorter long, n long")
+    counted = train.mapInArrow(run, "key long, context long, shorter long, n long")
     return counted.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
 
 
@@ -269,10 +301,10 @@ def grow(
         hashed(vocabulary.filter(F.col("n") >= min(few, rare))).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     )
     words, pairs, extended, symbols = bitmap(listed), None, None, None
-    values, length = [], 0
+    values, length, part = [], 0, train
     while True:
         length += 1
-        counted = stored(count_sequences(train, length, words, pairs, extended, symbols).filter(F.col("n") >= least))
+        counted = stored(count_sequences(part, length, words, pairs, extended, symbols).filter(F.col("n") >= least))
         whole = listed.select("key", "n") if length == 1 else counted.filter("shorter is null").select("key", "n")
         below = listed.filter(F.col("n") >= rare) if length == 1 else listed
         met = (
@@ -302,6 +334,8 @@ def grow(
         if not symbols.any():
             length += 1
             break
+        if length == 2:
+            part = stored(stretches(train, length, words, pairs, extended, symbols))
     if not values:
         return None, 0, words, pairs
     table = values[0]
