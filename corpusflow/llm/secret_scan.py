@@ -8,7 +8,9 @@ alphabets behind a sensitive word.  What a candidate costs is measured in bytes:
 compressed size of its surroundings with it less that without it, both against a dictionary
 of the identifiers and words that surround keys in code and settings.  Names, paths,
 placeholders and repetitions of the surroundings cost little; a key can't be compressed.
-A candidate that costs at least ``least_cost`` bytes a character is reported as ``novel``.
+A candidate that costs at least ``least_cost`` bytes a character is reported as ``novel``.  In a
+long key, or among other keys, the coder adapts to the alphabet, so where the characters are spread
+as evenly as random ones of an alphabet, nearly the entropy of that alphabet is enough.
 
 Every row is judged alone: nothing is shuffled and memory is that of one text.  Spans are
 in code points, end exclusive.  Null text is empty; repeated rows give the same result each.
@@ -17,7 +19,9 @@ in code points, end exclusive.  Null text is empty; repeated rows give the same
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -38,6 +42,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{12,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 REACH = 48
+SHARE = 0.95
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = [
+    (len(a), frozenset(a))
+    for a in (DIGITS + UPPER[:6], DIGITS + LOWER[:6], UPPER + DIGITS[2:8], LOWER + DIGITS[2:8], UPPER + DIGITS, LOWER + DIGITS, UPPER + LOWER + DIGITS)
+]
 AROUND = 160
 #: Words and identifiers that surround keys in code, settings and prose.
 WORDS = (
@@ -86,6 +96,17 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
                 yield m.start(), m.end()
 
 
+def uniform_alphabet(s: str) -> int:
+    """Size of the usual alphabet that ``s`` is drawn from as if at random, else 0: its characters meet each other about
+    as rarely as they would then (three deviations more and a fifth), unlike letters of words."""
+    n = len(s)
+    if n < 24:
+        return 0
+    size = next((k for k, of in ALPHABETS if of.issuperset(s)), 66)
+    met = sum(c * (c - 1) for c in Counter(s).values()) * size / (n * (n - 1))
+    return size if met <= 1.2 + 3 * math.sqrt(2 * size) / n else 0
+
+
 class Novelty:
     def __init__(self, words: str = WORDS, level: int = 9):
         import zstandard
@@ -99,12 +120,16 @@ class Novelty:
         whole = len(self.compress(before + after + text[start:end].encode()))
         return (whole - len(self.compress(before + after))) / (end - start)
 
+    def novel(self, text: str, start: int, end: int, least_cost: float) -> bool:
+        size = uniform_alphabet(text[start:end])
+        return self.cost(text, start, end) >= (min(least_cost, SHARE * math.log2(size) / 8) if size else least_cost)
+
 
 def scan(text: str, novelty: Novelty, least_cost: float) -> list[tuple[int, int, int]]:
     found = base_spans(text)
     base = list(found)
     for start, end in candidates(text):
-        if not any(s < end and start < e for s, _, e in base) and novelty.cost(text, start, end) >= least_cost:
+        if not any(s < end and start < e for s, _, e in base) and novelty.novel(text, start, end, least_cost):
             found.append((start, 3, end))
     return sorted(found)
 

@@ -356,6 +356,22 @@ def test_secrets(spark):
     assert clean[0] is None and clean[5] == LONG and clean[n + 5] == "é [SECRET:assign]' [SECRET:access]" and secret_scan.redact_secrets(df).columns == df.columns
 
 
+def random_key(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_secrets_of_any_alphabet_and_length():
+    rng, novelty = random.Random(11), secret_scan.Novelty()
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (digits + upper[:6], lower + digits, upper + digits[2:8], upper + lower + digits + "+/"):
+        for n in (64, 256, 512, 1600):
+            keys = [random_key(rng, alphabet, n) for _ in range(10)]
+            texts = [f"we have a service and its secret is {k} and the rest of the settings stay" for k in keys]
+            assert sum(any(t[a:b] == k for a, _, b in secret_scan.scan(t, novelty, 0.8)) for t, k in zip(texts, keys)) >= 9
+    slug = "-".join(["the", "rest", "of", "these", "settings", "were", "left", "as", "they", "are"] * 3) + "-2"
+    assert secret_scan.scan(f"the secret is {slug} here", novelty, 0.8) == []
+
+
 def test_mixing(spark):
     rng = random.Random(17)
     kind = ["low" if rng.random() < 0.3 else "plain" for _ in range(600)]
