@@ -4,7 +4,8 @@ Base patterns (leftmost, non-overlapping per kind) find assignments, access keys
 long hexadecimal strings.  The method adds strings that no pattern names:
 
 Dictionary-primed zstandard novelty.  Candidates are strings of one of the usual secret
-alphabets behind a sensitive word.  What a candidate costs is measured in bytes: the
+alphabets near a sensitive word, in front of it or behind, or near a string that is reported
+itself, so all lines of a key are tested (pieces of less than 12 characters are not).  What a candidate costs is measured in bytes: the
 compressed size of its surroundings with it less that without it, both against a dictionary
 of the identifiers and words that surround keys in code and settings.  Names, paths,
 placeholders and repetitions of the surroundings cost little; a key can't be compressed.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +44,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{12,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 REACH = 48
-SHARE = 0.95
+SHARE = 0.85  # next to other keys the coder knows the alphabet and the bytes are whole
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = [
     (len(a), frozenset(a))
@@ -79,21 +81,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Strings of a secret's alphabet that start within REACH characters behind a sensitive word."""
-    done = 0
+def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Strings of a secret's alphabet, and whether they lie within REACH characters of a sensitive word, on either side.
+
+    Without a sensitive word there are none.  A string that a sensitive word opens starts behind it."""
     if not hinted(text, SENSITIVE_HINTS):
         return
-    for word in SENSITIVE.finditer(text):
-        at = max(word.end(), done)
-        while m := CANDIDATE.search(text, at):
-            if m.start() - word.end() > REACH:
-                break
-            at = done = m.end()
-            s = m.group()
-            kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
-            if kinds >= 2 and any(c.isdigit() for c in s):
-                yield m.start(), m.end()
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return
+    starts, at = [s for s, _ in words], 0
+    while m := CANDIDATE.search(text, at):
+        start, at = m.span()
+        k = bisect_left(starts, start)
+        if k < len(words) and starts[k] < min(at, start + 12):
+            at = words[k][1]
+            continue
+        s = m.group()
+        kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
+        if kinds >= 2 and any(c.isdigit() for c in s):
+            after = bisect_left(starts, at)
+            yield start, at, (k > 0 and start - words[k - 1][1] <= REACH) or k < after or (after < len(words) and starts[after] - at <= REACH)
 
 
 def uniform_alphabet(s: str) -> int:
@@ -128,8 +136,25 @@ class Novelty:
 def scan(text: str, novelty: Novelty, least_cost: float) -> list[tuple[int, int, int]]:
     found = base_spans(text)
     base = list(found)
-    for start, end in candidates(text):
-        if not any(s < end and start < e for s, _, e in base) and novelty.novel(text, start, end, least_cost):
+    strings = list(candidates(text))
+    judged: dict[int, bool] = {}
+
+    def secret(i: int) -> bool:
+        start, end, _ = strings[i]
+        if i not in judged:
+            judged[i] = any(s < end and start < e for s, _, e in base) or novelty.novel(text, start, end, least_cost)
+        return judged[i]
+
+    taken: set[int] = set()
+    for order, side in ((range(len(strings)), -1), (range(len(strings) - 1, -1, -1), 1)):
+        for i in order:
+            beside = i + side
+            gap = (strings[i][0] - strings[beside][1] if side < 0 else strings[beside][0] - strings[i][1]) if beside in taken else REACH + 1
+            if (strings[i][2] or gap <= REACH) and secret(i):
+                taken.add(i)
+    for i in taken:
+        start, end, _ = strings[i]
+        if not any(s < end and start < e for s, _, e in base):
             found.append((start, 3, end))
     return sorted(found)
 
