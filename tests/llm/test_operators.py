@@ -142,6 +142,18 @@ def test_language_id(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= set(range(300)) and 300 not in {r.doc_id for r in kept.collect()}
 
 
+def test_unlearned_language_of_the_same_script_is_dropped(spark):
+    rng = random.Random(8)
+    words = {"xx": ["kalo", "mira", "tundo", "velis"], "yy": ["schrop", "grutz", "pfling", "wrack"], "zz": ["kalom", "ouai", "eauque", "lieux", "drumi", "tundra"]}
+    langs = [rng.choice(list(words)) for _ in range(200)]
+    df = table(spark, [" ".join(rng.choice(words[k]) for _ in range(100)) for k in langs], lang=langs)
+    held = fold(F.col("doc_id"), 4) == 2
+    model = langid.learn(df, ~held & (F.col("lang") != "zz"))
+    kept = {r.doc_id for r in langid.drop_unknown(df, model, least_score=langid.held_out_bound(df, held, model)).collect()}
+    assert kept == {i for i, k in enumerate(langs) if k != "zz"} == {r.doc_id for r in langid.drop_unknown(df, model).collect()}
+    assert {r.doc_id for r in langid.drop_unknown(df, model, least_score=0.1).collect()} > kept
+
+
 def test_bitmask_filter_is_never_wrong_on_members():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 1 << 32, 500, dtype=np.uint32) for _ in range(11)]
