@@ -15,8 +15,10 @@ similarity 0.75 misses every table with probability below 0.001, one of 0.85 bel
    sets.  This joins groups in pairs linear in their size.
 4. What remains are pairs of one table entry whose components differ.  The shingles that no other
    class in question has are counted; a class that has too many of its own to be similar to any,
-   and a pair of which one has too many for the other, is ruled out exactly.  All other pairs are
-   verified, so no link is lost that could change a component.
+   and a pair of which one has too many for the other, is ruled out exactly.  In entries of many
+   classes a pair also needs a shingle that few of them have, or enough of those that many have:
+   a group of copies of one text, each too far from it, has neither, so its pairs are not even
+   made.  All other pairs are verified, so no link is lost that could change a component.
 5. Components come from large-star / small-star rounds on the verified links; every round is
    written to the shared folder.  Nothing but counts reaches the driver.
 
@@ -26,7 +28,8 @@ Words are maximal runs without ASCII white space, A-Z lower-cased.  A text of fe
 ``size`` words has its whole sequence as one shingle; one without words (or null) has none,
 links with nothing and is kept.  A component is named by its smallest id.  Rows that repeat
 an id and a text are in one class and both kept if their id names the component; rows are
-the nodes, so an id with two texts does not link them.
+the nodes, so an id with two texts does not link them.  A row without an id is kept only if
+no row of its component has one; the component is then null.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fields, map_rows, stored
+from .common import discard, fields, map_rows, packed, stored
 
 SIZE = 5
 M = 14
@@ -142,6 +145,16 @@ def describe(df: DataFrame, size: int) -> DataFrame:
     return map_rows(df, start, schema, ["_text"], ["_id"])
 
 
+def digests(df: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """``keep``, text and digest of rows with ``_text``."""
+
+    def start():
+        shingler = Shingler(size)
+        return lambda texts: {"digest": [digest(shingler.shingles(t)) for t in texts]}
+
+    return map_rows(df.withColumnRenamed("_text", "text"), start, fields("digest binary"), ["text"], [*keep, "text"])
+
+
 def similar_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= percent * (len(x) + len(y) - common)
@@ -168,10 +181,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_rows(both, start, fields("linked boolean"), ["ty", "tx"], ["x", "y"]).filter("linked").select("x", "y")
 
 
-def shared_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """(digest, alone): shingles that no other of the given classes has, for classes with any.
+def postings(texts: DataFrame, size: int) -> DataFrame:
+    """(digest, s) for each shingle of the given classes.
 
-    Shingles are told apart by 32 bits: two that fall together only make ``alone`` smaller, which rules out less."""
+    Shingles are told apart by 32 bits: two that fall together only make a set look more shared, which rules out less."""
     schema = pa.schema([("digest", pa.binary()), ("s", pa.int32())])
 
     def run(batches):
@@ -181,9 +194,21 @@ def shared_shingles(texts: DataFrame, size: int) -> DataFrame:
                 s = np.unique((shingler.shingles(text) >> U(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(s), pa.binary()), pa.array(s)], schema=schema)
 
-    each = texts.select("digest", "text").mapInArrow(run, "digest binary, s int").select(F.xxhash64("digest").alias("c"), "s")
-    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.min("c").alias("c")).filter("n = 1").groupBy("c").agg(F.count("*").alias("alone"))
-    return texts.select("digest", F.xxhash64("digest").alias("c")).join(alone, "c").select("digest", "alone")
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, s int")
+
+
+def alone(each: DataFrame) -> DataFrame:
+    """(digest, alone) of ``postings``: how many shingles no other class has, for classes with any."""
+    single = each.groupBy("s").agg(F.count("*").alias("n"), F.min(F.xxhash64("digest")).alias("_c")).filter("n = 1")
+    return each.select("digest").distinct().withColumn("_c", F.xxhash64("digest")).join(single.groupBy("_c").agg(F.count("*").alias("alone")), "_c").select("digest", "alone")
+
+
+def spread(each: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``postings``: (digest, common), the number of shingles that more than ``most`` classes have, for classes with any,
+    and (digest, s) of the shingles that 2 to ``most`` have."""
+    by = each.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    frequent = each.join(by.filter(F.col("n") > most), "s").groupBy("digest").agg(F.count("*").alias("common"))
+    return frequent, each.join(by.filter(F.col("n") <= most), "s").select("digest", "s")
 
 
 def sketches_agree(a: str, b: str) -> Column:
@@ -193,6 +218,12 @@ def sketches_agree(a: str, b: str) -> Column:
     return differing <= MOST_DIFFERING
 
 
+def enough(shared: str, percent: int) -> Column:
+    """Whether two sets of the given sizes can be similar enough, if each shares no more than its column ``shared``:
+    similarity p % needs p / (100 + p) of both sizes."""
+    return F.least(f"{shared}x", f"{shared}y") * (100 + percent) >= (F.col("sizex") + F.col("sizey")) * percent
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the ends of ``links`` (x, y); a component is named by its least node."""
     edges = stored(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
@@ -223,9 +254,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def find_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75, crowded: int = 32, scarce: int = 8
 ) -> DataFrame:
-    """For every row: id, n_shingles, component_id and kept.  ``percent`` is 75 or more (lower ones need more tables)."""
+    """For every row: id, n_shingles, component_id and kept.  ``percent`` is 75 or more (lower ones need more tables).
+
+    Entries of more than ``crowded`` classes are paired by shingles that at most ``scarce`` of their classes have; no pair
+    depends on either number."""
     if percent < 75:
         raise ValueError("the tables are laid out for a similarity of 0.75 or more")
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -253,45 +287,52 @@ def find_near_duplicates(
     stars = keys.select(F.col("digest").alias("x"), "key").join(centres, "key").filter("x <> y").select("x", "y").distinct()
     stars = stored(stars.join(sketches("x"), "x").join(sketches("y"), "y").filter(sketches_agree("sx", "sy")).select("x", "y"))
 
-    # Texts of the classes that can have a partner, written once.
+    # Texts of the classes that can have a partner, written once.  An id may occur with several texts: only the one of the class counts.
     wanted = alive.select("digest", F.col("first_id").alias("_id"))
-    texts = wanted.join(docs, "_id").select("digest", F.col("_text").alias("text"))
-
-    def same_digest():
-        shingler = Shingler(size)
-
-        def kernel(digests, found):
-            return {"same": [digest(shingler.shingles(t)) == d for d, t in zip(digests, found)]}
-
-        return kernel
-
-    # An id may occur with several texts: only the one of the class counts.
-    texts = map_rows(texts, same_digest, fields("same boolean"), ["digest", "text"], ["digest", "text"]).filter("same")
+    named_texts = digests(wanted.filter("_id is not null").withColumnRenamed("digest", "_of").join(docs, "_id"), ["_of"], size)
+    nameless = digests(docs.filter("_id is null"), [], size).join(wanted.filter("_id is null").select("digest"), "digest", "left_semi")
+    texts = named_texts.filter("digest = _of").select("digest", "text").unionByName(nameless.select("digest", "text"))
     texts = stored(texts.groupBy("digest").agg(F.min("text").alias("text")))
 
     links = stored(verified(stars, texts, size, percent))
     first = stored(components(links))
-    # Pairs of a table entry that are still in different components.
+    # Entries whose members are still in different components.
     placed = alive.select("digest", "a", "b").join(first.withColumnRenamed("node", "digest"), "digest", "left")
     placed = placed.select("digest", F.coalesce("component", "digest").alias("component"), F.explode("a").alias("a"), "b")
     placed = placed.select("digest", "component", "a", F.explode("b").alias("b")).select("digest", "component", F.xxhash64("a", "b").alias("key"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    still = stored(placed.join(open_keys, "key", "left_semi"))
-    able = alive.select("digest", "size", "sketch", "a", "b").join(shared_shingles(texts.join(still.select("digest").distinct(), "digest", "left_semi"), size), "digest", "left")
-    able = able.select("digest", "size", "sketch", "a", "b", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("met")).filter(F.col("met") * 100 >= F.col("size") * percent)
-    still_able = still.join(able, "digest")
-    side = lambda k: still_able.select("key", F.col("digest").alias(k), F.col("component").alias(f"c{k}"), F.col("sketch").alias(f"s{k}"), F.col("size").alias(f"n{k}"), F.col("met").alias(f"m{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
-    # What two sets have in common is at most what each has in common with any other; similarity p % needs p / (100 + p) of both sizes.
-    possible = F.least("mx", "my") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
+    still = stored(placed.join(open_keys.select("key", "members"), "key"))
+    each = stored(postings(texts.join(still.select("digest").distinct(), "digest", "left_semi"), size))
+    able = alive.select("digest", "size", "sketch", "a", "b").join(alone(each), "digest", "left")
+    able = able.withColumn("met", F.col("size") - F.coalesce("alone", F.lit(0))).filter(F.col("met") * 100 >= F.col("size") * percent)
+    crowd = still.filter(F.col("members") > crowded).select("digest").distinct()
+    common, rare = spread(each.join(crowd, "digest", "left_semi").join(able, "digest", "left_semi"), scarce)
+    able = stored(able.join(common, "digest", "left").select("digest", "size", "sketch", "a", "b", "met", F.coalesce("common", F.lit(0)).alias("common")))
+
+    def side(df: DataFrame, k: str, on: str) -> DataFrame:
+        return df.select(on, *[F.col(c).alias(c + k) for c in ("digest", "component", "sketch", "size", "met", "common", "a", "b")])
+
+    def paired(df: DataFrame, on: str, condition: Column) -> DataFrame:
+        """Pairs of rows of ``df`` (digest, component) with equal ``on`` that may be links of two components."""
+        both = df.join(able, "digest")
+        # What two sets have in common is at most what each has in common with any other.
+        apart = (F.col("componentx") != F.col("componenty")) & (F.col("digestx") < F.col("digesty"))
+        both = side(both, "x", on).join(side(both, "y", on), on)
+        return both.filter(apart & enough("met", percent) & condition & sketches_agree("sketchx", "sketchy")).select(F.col("digestx").alias("x"), F.col("digesty").alias("y"))
+
     # A pair comes from one table only, that of its least common halves.
-    home = F.xxhash64(F.array_min(F.array_intersect("ax", "ay")), F.array_min(F.array_intersect("bx", "by")))
-    met_again = side("x").join(side("y"), "key").filter(
-        (F.col("cx") != F.col("cy")) & (F.col("x") < F.col("y")) & possible & sketches_agree("sx", "sy") & (F.col("key") == home)
-    )
+    home = F.col("key") == F.xxhash64(F.array_min(F.array_intersect("ax", "ay")), F.array_min(F.array_intersect("bx", "by")))
+    near = paired(still.filter(F.col("members") <= crowded), "key", home)
+    # In a crowded entry two sets share a scarce shingle, or frequent ones alone must be enough.
+    where = still.select("digest", "component").distinct()
+    beyond = still.filter(F.col("members") > crowded)
+    reach = able.select("digest", (F.col("common") * F.lit((100 + percent) / percent) - F.col("size")).alias("largest"), "size")
+    frequent = beyond.join(reach, "digest").filter(F.col("largest") >= F.col("size") * F.lit(percent / 100)).select("digest", "component", "key")
+    met_again = near.unionByName(paired(frequent, "key", home & enough("common", percent))).unionByName(paired(rare.join(where, "digest"), "s", F.lit(True)))
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = met_again.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
+    rest = met_again.distinct().join(tried, ["x", "y"], "left_anti")
     links_again = stored(verified(rest, texts, size, percent))
-    discard(still, texts, stars)
+    discard(still, each, able, texts, stars)
 
     last = components(links.unionByName(links_again))
     members = last.withColumnRenamed("node", "digest").join(alive.select("digest", "first_id"), "digest")
@@ -307,6 +348,11 @@ def find_near_duplicates(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df``, all columns, whose id is the smallest of its group."""
-    gone = find_near_duplicates(df, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows of ``df``, all columns, whose id is the smallest of its group.
+
+    Decided by id and text, so of an id with several texts only those go that another document repeats."""
+    own = F.col(f"_row.`{id_col}`")
+    whole = packed(df).withColumn("_mark", F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(F.col(f"_row.`{text_col}`")).alias("text")))
+    docs = whole.select(F.col("_mark").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"))
+    gone = find_near_duplicates(docs, "_id", "_text").filter("not kept").select(F.col("_id").alias("_gone")).distinct()
+    return whole.join(gone, F.col("_mark") == F.col("_gone"), "left_anti").select("_row.*")
