@@ -5,6 +5,7 @@ Each takes (spark, sf_dir), applies one operator to its whole table and returns
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from .secret_scan import scan_secrets
 from .token_counts import count_tokens
 
 
-#: Key of the surrogates in the registered query; callers use a secret of their own.
-PII_KEY = "corpusflow"
+#: Setting with the key of the surrogates; unset, the query draws a key for that run.
+PII_KEY = "spark.corpusflow.pii.key"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, PII_KEY).withColumnRenamed("_found", "n_entities")
+    return pseudonymise(docs, spark.conf.get(PII_KEY, None) or secrets.token_hex(32), count_col="n_entities")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     made = mix(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS, keep=["doc_id", "source"])
-    return made.select("_row.doc_id", "_row.source", "n_tokens", "domain", "posterior", "rate")
+    return made.select("_row.doc_id", "_row.source", "n_tokens", "domain", "posterior", "rate", "residual")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
