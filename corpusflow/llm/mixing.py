@@ -21,11 +21,13 @@ codes whose odds differ beyond chance are kept.
 Edge cases: null or empty text has no tokens and the prior as posterior; labels without a
 domain or a document count for nothing; a document labelled twice takes its least domain;
 domains without any expected token are left out and the other targets scaled up; no labels:
-every document keeps rate 1; repeated rows get the same rate each.
+every document keeps rate 1; repeated rows get the same rate each; a tie of two domains goes
+to the one with more labels; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -36,69 +38,67 @@ from pyspark.sql import functions as F
 from .common import stored
 from .decontaminate import let
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of two
 BINS = 8
 CLIP = 4.0
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MARKS = "#*$%&|<>!"
+MARKS = "[#*$%&|<>!]"
+PUNCTUATION = ".,;:!?\"'()[]"
 
 
-def evidence(text: Column) -> Column:
-    """Codes of a text: a bucket for each distinct word, and behind BUCKETS a bin for each figure
-    (share of marks, of capitals and of distinct words, and length)."""
+def words_of(text: Column) -> Column:
+    """Maximal runs without ASCII white space of the lower-cased text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def evidence(text: Column, words: Column) -> Column:
+    """Codes of a text: a bucket for each distinct word without the punctuation at its ends, and behind BUCKETS a bin
+    for each figure (share of marks, of capitals and of distinct words, and length)."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    share_without = lambda drop: 1 - F.length(F.translate(text, drop, "")) / F.greatest(F.length(text), F.lit(1))
+    share_of = lambda which: F.regexp_count(text, F.lit(which)) / F.greatest(F.length(text), F.lit(1))
     log_bin = lambda x: F.floor(F.log2(1 + 200 * x))
 
-    def codes(w: Column, distinct: Column) -> Column:
+    def codes(distinct: Column) -> Column:
         values = [
-            log_bin(share_without(MARKS)),
-            log_bin(share_without(UPPER)),
-            F.floor(BINS * F.size(distinct) / F.greatest(F.size(w), F.lit(1))),
-            F.floor(F.log2(F.lit(1) + F.size(w)) / 2),
+            log_bin(share_of(MARKS)),
+            log_bin(share_of("[A-Z]")),
+            F.floor(BINS * F.size(distinct) / F.greatest(F.size(words), F.lit(1))),
+            F.floor(F.log2(F.lit(1) + F.size(words)) / 2),
         ]
         figures = [F.lit(BUCKETS + BINS * i) + F.least(F.lit(BINS - 1), v.cast("int")) for i, v in enumerate(values)]
-        return F.concat(F.transform(distinct, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")), F.array(*figures))
-
-    return let(words, lambda w: let(F.array_distinct(w), lambda d: codes(w, d)))
-
+        bucket = lambda x: F.xxhash64(F.btrim(x, F.lit(PUNCTUATION))).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        return F.concat(F.array_distinct(F.transform(distinct, bucket)), F.array(*figures))
 
-def token_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return let(F.array_distinct(words), codes)
 
 
-def numbers(values: list[float]) -> Column:
-    return F.expr(f"array({','.join(f'{v:.6g}D' for v in values)})")
+def numbers(values: np.ndarray) -> Column:
+    """The values as one array literal."""
+    return F.from_json(F.lit(json.dumps([float(f"{v:.6g}") for v in values])), "array<double>")
 
 
 @dataclass
 class DomainModel:
-    """Prior log odds of each domain against the first, and the log odds of the codes that tell."""
+    """Prior log odds of each domain against the first, and the log odds of every code (0 for those that tell nothing)."""
 
     domains: list[str]
     prior: list[float]
-    codes: list[int]
-    odds: list[list[float]]  # for each domain but the first, one for each of the codes
+    odds: np.ndarray  # (domains but the first, codes)
 
-    def posterior(self, text: Column) -> Column:
+    def posterior(self, text: Column, words: Column) -> Column:
         """array<double>, one for each domain, that sums to 1."""
         if len(self.domains) < 2:
             return F.array(*[F.lit(1.0) for _ in self.domains])
-        known = F.array(*[F.lit(c) for c in self.codes])
+        telling = numbers(np.abs(self.odds).max(0) > 0)
 
-        def scores(places: Column) -> Column:
-            total = lambda table: F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.get(table, i))
+        def scores(codes: Column) -> Column:
+            total = lambda table: F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + F.get(table, c))
             return F.array(F.lit(0.0), *[F.lit(p) + total(numbers(o)) for p, o in zip(self.prior[1:], self.odds)])
 
         def soft(s: Column) -> Column:
             top = F.array_max(s)
             return let(F.transform(s, lambda x: F.exp(x - top)), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
 
-        # Few codes of a text tell anything: a hash set picks them, and only they are looked up.
-        telling = F.filter(evidence(text), lambda c: c.isin(*self.codes) if self.codes else F.lit(False))
-        places = F.transform(telling, lambda c: (F.array_position(known, c) - 1).cast("int"))
-        return let(let(places, scores), soft)
+        return let(let(F.filter(evidence(text, words), lambda c: F.get(telling, c) > 0), scores), soft)
 
 
 def fit_domains(
@@ -109,11 +109,11 @@ def fit_domains(
     sizes = {r["_domain"]: r["count"] for r in known.groupBy("_domain").count().collect()}  # a row for each domain
     domains = sorted(sizes, key=lambda d: (-sizes[d], d))
     if len(domains) < 2:
-        return DomainModel(domains, [0.0] * len(domains), [], [])
+        return DomainModel(domains, [0.0] * len(domains), np.zeros((0, 0)))
     draw = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.filter(draw < max_labelled / sum(sizes.values())).limit(2 * max_labelled)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    seen = docs.select("_domain", F.explode(evidence(F.col("_text"))).alias("c")).groupBy("_domain", "c").count()
+    seen = docs.select("_domain", F.explode(let(words_of(F.col("_text")), lambda w: evidence(F.col("_text"), w))).alias("c")).groupBy("_domain", "c").count()
     size = BUCKETS + 4 * BINS
     counts = np.zeros((len(domains), size))
     for d, c, n in seen.collect():  # at most domains * size
@@ -138,7 +138,9 @@ def fit_domains(
     missing = np.log1p(-there) - np.log1p(-there[0])
     prior += missing.sum(1)
     odds[:, word] = np.clip(np.log(there / there[0]), -CLIP, CLIP)[1:] - missing[1:]
-    return DomainModel(domains, prior.tolist(), codes.tolist(), odds.tolist())
+    table = np.zeros((len(domains) - 1, size))
+    table[:, codes] = odds
+    return DomainModel(domains, prior.tolist(), table)
 
 
 def momentum(n: int) -> list[float]:
@@ -170,28 +172,39 @@ def replay(posterior: Column, steps: list[list[float]], ahead: bool) -> Column:
     return F.aggregate(F.expr(f"array({rows})"), start, step, end)
 
 
-def fit_rates(docs: DataFrame, targets: list[float], max_rounds: int = 40, tolerance: float = 1e-3) -> list[list[float]]:
-    """Steps of accelerated projected gradient descent over ``docs`` (n_tokens, posterior)."""
+def shares(docs: DataFrame, rate: Column, size: int) -> tuple[int, list[float]]:
+    """Tokens of ``docs`` (n_tokens, posterior), and the expected tokens of each domain at the given rates as shares of them."""
+    weighed = docs.select((F.col("n_tokens") * rate).alias("t"), "n_tokens", "posterior")
+    row = weighed.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("t") * F.get("posterior", F.lit(i))).alias(f"d{i}") for i in range(size)]).first()
+    n = row["n"] or 0
+    return n, [row[f"d{i}"] / n if n else 0.0 for i in range(size)]
+
+
+def fit_rates(docs: DataFrame, targets: list[float], max_rounds: int = 40, tolerance: float = 1e-3) -> tuple[list[list[float]], float]:
+    """Steps of accelerated projected gradient descent over ``docs`` (n_tokens, posterior), and the largest difference
+    between a target and the share that the fitted rates give.
+
+    Ends when every share is within ``tolerance`` of its target (of 0.01 at least), when the loss has not moved for five
+    rounds (targets that no rates can meet), or after ``max_rounds``; what is left is the second result."""
     size = len(targets)
     steps: list[list[float]] = []
     loss: list[float] = []
-    base = None
+    n, base = shares(docs, F.lit(1.0), size)
+    if not n:
+        return [], 0.0
+    scale = sum(t for t, b in zip(targets, base) if b > 0) or 1.0
+    targets = [t / scale if b > 0 else 0.0 for t, b in zip(targets, base)]
+    share = base
     while True:
-        weighed = docs.select((F.col("n_tokens") * replay(F.col("posterior"), steps, ahead=True)).alias("t"), "n_tokens", "posterior")
-        row = weighed.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("t") * F.get("posterior", F.lit(i))).alias(f"d{i}") for i in range(size)]).first()
-        if not row["n"]:
-            return []
-        share = [row[f"d{i}"] / row["n"] for i in range(size)]
-        if base is None:
-            base = share
-            scale = sum(t for t, b in zip(targets, base) if b > 0) or 1.0
-            targets = [t / scale if b > 0 else 0.0 for t, b in zip(targets, base)]
         residual = [s - t for s, t in zip(share, targets)]
         loss.append(sum(x * x / b for x, b in zip(residual, base) if b > 0))
         still = len(loss) > 5 and abs(loss[-6] - loss[-1]) <= tolerance * loss[-6]
         if still or all(abs(x) <= tolerance * max(t, 0.01) for x, t in zip(residual, targets)) or len(steps) >= max_rounds:
-            return steps
+            break
         steps.append([x / b if b > 0 else 0.0 for x, b in zip(residual, base)])
+        _, share = shares(docs, replay(F.col("posterior"), steps, ahead=True), size)
+    _, share = shares(docs, replay(F.col("posterior"), steps, ahead=False), size)
+    return steps, max(abs(s - t) for s, t in zip(share, targets))
 
 
 def mix(
@@ -204,26 +217,30 @@ def mix(
     max_rounds: int = 40,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The ``keep`` columns of ``df`` (all, if None) in ``_row``, with n_tokens, domain (the likeliest), posterior
-    and rate of every row.  All but the rate is computed once and written to the shared folder.
+    """The ``keep`` columns of ``df`` (all, if None) in ``_row``, with n_tokens (words), domain (the likeliest), posterior and
+    rate of every row, and the residual of the fit, the same in every row.  All but the rate is computed once and written
+    to the shared folder.
 
     ``targets``: share of the expected tokens for each domain; domains that are not named get none."""
     model = fit_domains(df, labels, domain, id_col, text_col)
     text = F.col(f"`{text_col}`")
-    whole = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row"), token_count(text).alias("n_tokens"), model.posterior(text).alias("posterior")
-    )
+    made = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), model.posterior(text, w).alias("posterior")))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row"), made.alias("_made"))
+    whole = whole.select("_row", F.col("_made.n").alias("n_tokens"), F.col("_made.posterior").alias("posterior"))
     if not model.domains:
-        return whole.select("_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
+        return whole.select(
+            "_row", "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("residual")
+        )
     whole = stored(whole)
-    steps = fit_rates(whole, [targets.get(d, 0.0) for d in model.domains], max_rounds)
+    steps, residual = fit_rates(whole, [targets.get(d, 0.0) for d in model.domains], max_rounds)
     names = F.array(*[F.lit(d) for d in model.domains])
-    return whole.select("_row", "n_tokens", "posterior").select(
+    return whole.select(
         "_row",
         "n_tokens",
         F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
         "posterior",
         replay(F.col("posterior"), steps, ahead=False).alias("rate"),
+        F.lit(residual).alias("residual"),
     )
 
 
