@@ -69,12 +69,14 @@ def map_rows(
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (local tests), a temporary folder of
-    this machine is named once for the session.
+    Where ``spark.checkpoint.dir`` is unset, a local session names a temporary folder of this
+    machine once; on a cluster, whose executors could not read that, it is an error.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

@@ -11,13 +11,14 @@ word is hit if the run of equal words around it is SPAN long or more.
 * A document looks its values up in a bitmap of the item fingerprints and carries on only
   those found, each with the few words around it that an extension can reach.  Nothing of
   the documents is shuffled but a row for each document and its verified runs.
-* The item side is broadcast in blocks of items of at most ``max_block`` fingerprints,
-  counted first; a larger benchmark takes several passes over the documents.
+* The item side is broadcast in blocks of about ``max_block`` fingerprints, counted first and
+  dealt by a hash; a larger benchmark takes several passes over the documents.
 * Runs are verified on the words themselves, not on hashes.
 
 Edge cases: null texts and texts without words hit nothing; an item without words is
 ignored; repeated documents are counted each; repeated items count as one if they share
-their id, a null item id as the empty text; an empty benchmark hits nothing.
+their id, a null item id as the empty text; an empty benchmark hits nothing; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, stored
+
 SPAN = 10
 K = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,6 +59,13 @@ def minima(grams: Column, window: int) -> Column:
     return F.array_distinct(F.transform(positions(F.size(grams) - (window - 1)), lambda i: F.least(*[F.get(grams, i + j) for j in range(window)])))
 
 
+def places(grams: Column, window: int) -> Column:
+    """Distinct places of the least values of all windows, the first of equal ones."""
+    here = lambda p: F.struct(F.get(grams, p).alias("g"), p.alias("p"))
+    least = F.transform(positions(F.size(grams) - (window - 1)), lambda i: F.least(*[here(i + j) for j in range(window)]))
+    return F.transform(F.array_distinct(least), lambda s: s["p"])
+
+
 def around(w: Column, p: Column, k: int, reach: int) -> Column:
     """The gram at ``p`` with the words around it that an extension can reach, and how many are in front."""
     front = F.least(p, F.lit(reach))
@@ -66,38 +76,45 @@ def around(w: Column, p: Column, k: int, reach: int) -> Column:
     )
 
 
+HITS = "array<struct<g:bigint,k:int,at:struct<p:int,front:int,ctx:array<string>>>>"
+
+
+def grams_of(w: Column, k: int, use: Callable[[Column], Column]) -> Column:
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(gram_hashes(h, k), use))
+
+
 def hits(w: Column, wanted: Callable[[Column], Column], k: int, span: int) -> Column:
-    """Grams of the winnowed values for which ``wanted`` holds, at all their places."""
+    """If ``wanted`` holds for a winnowed value, all grams for which it does, with their surroundings."""
     window = span - k + 1
 
     def placed(grams: Column) -> Column:
         kept = grams if window == 1 else minima(grams, window)
-        return let(
-            F.filter(kept, wanted),
-            lambda found: F.when(
-                F.size(found) > 0,
-                F.transform(
-                    F.filter(positions(F.size(grams)), lambda p: F.array_contains(found, F.get(grams, p))),
-                    lambda p: F.struct(F.get(grams, p).alias("g"), F.lit(k).alias("k"), around(w, p, k, span - k).alias("at")),
-                ),
-            ).otherwise(F.array().cast(f"array<struct<g:bigint,k:int,at:struct<p:int,front:int,ctx:array<string>>>>")),
+        all_places = F.transform(
+            F.filter(positions(F.size(grams)), lambda p: wanted(F.get(grams, p))),
+            lambda p: F.struct(F.get(grams, p).alias("g"), F.lit(k).alias("k"), around(w, p, k, span - k).alias("at")),
         )
+        return F.when(F.exists(kept, wanted), all_places).otherwise(F.array().cast(HITS))
 
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(gram_hashes(h, k), placed))
+    return grams_of(w, k, placed)
 
 
 def fingerprints(items: DataFrame, id_col: str, text_col: str, short: list[int]) -> DataFrame:
-    """A row for each item fingerprint: g, k, need, item_id and the place in the item."""
+    """A row for each item fingerprint: g, k, need, item_id and its surroundings; equal ones of an item are one."""
     base = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), words(F.col(text_col)).alias("w"))
-    every = lambda g: F.lit(True)
-    parts = [base.filter(F.size("w") >= SPAN).select("item_id", F.lit(SPAN).alias("need"), F.explode(hits(F.col("w"), every, K, SPAN)).alias("h"))]
-    parts += [
-        base.filter(F.size("w") == m).select("item_id", F.lit(m).alias("need"), F.explode(hits(F.col("w"), every, m, m)).alias("h")) for m in short
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("h.g", "h.k", "need", "item_id", F.col("h.at").alias("item"))
+
+    def part(rows: DataFrame, k: int, span: int) -> DataFrame:
+        def placed(grams: Column) -> Column:
+            kept = positions(F.size(grams)) if span == k else places(grams, span - k + 1)
+            around_it = lambda p: around(F.col("w"), p, k, span - k)
+            return F.transform(kept, lambda p: let(around_it(p), lambda at: F.struct(F.get(grams, p).alias("g"), at["front"].alias("front"), at["ctx"].alias("ctx"))))
+
+        made = rows.select("item_id", F.explode(grams_of(F.col("w"), k, placed)).alias("h"))
+        return made.select("h.g", F.lit(k).alias("k"), F.lit(span).alias("need"), "item_id", F.struct("h.front", "h.ctx").alias("item"))
+
+    out = part(base.filter(F.size("w") >= SPAN), K, SPAN)
+    for m in short:
+        out = out.unionByName(part(base.filter(F.size("w") == m), m, m))
+    return out.distinct()
 
 
 def bitmap(prints: DataFrame, n: int) -> Callable[[Column], Column]:
@@ -161,7 +178,7 @@ def find_leaks(
     """For every row of ``df``: doc_id, n_words, n_hit, items (sorted ids), n_items and contaminated."""
     sizes = items.select(F.size(words(F.col(item_text_col))).alias("n")).groupBy("n").count().filter(F.col("n").between(1, SPAN - 1)).collect()
     short = sorted(r["n"] for r in sizes)  # lengths below SPAN
-    prints = fingerprints(items, item_id_col, item_text_col, short)
+    prints = stored(fingerprints(items, item_id_col, item_text_col, short))
     n = prints.count()
     blocks = max(1, -(-n // max_block))
     base = df.select(
@@ -170,7 +187,7 @@ def find_leaks(
     lengths = [(K, SPAN)] + [(m, m) for m in short]
     found = None
     for b in range(blocks):
-        mine = prints.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else prints
+        mine = prints.filter(F.pmod(F.xxhash64("g", "item_id", "item"), F.lit(blocks)) == b) if blocks > 1 else prints
         wanted = bitmap(mine, -(-n // blocks))
         placed = [hits(F.col("w"), wanted, k, span) for k, span in lengths]
         docs = base.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*placed)).alias("h"))
@@ -190,7 +207,13 @@ def find_leaks(
     )
 
 
-def drop_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """Rows of ``df``, all columns, whose id has no contaminated row."""
-    leaks = find_leaks(df, items, id_col, **names).filter("contaminated").select(F.col(id_col).alias("_leak")).distinct()
-    return df.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+def drop_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 200_000, **names) -> DataFrame:
+    """Rows of ``df``, all columns, that are not contaminated.
+
+    Up to ``most_sent`` marks of contaminated rows, counted first, are broadcast; more are joined by a shuffle."""
+    own = F.col(f"_row.`{text_col}`")
+    whole = packed(df).withColumn("_mark", F.struct(F.xxhash64(own), F.length(own)))
+    docs = whole.select(F.col("_mark").alias("_id"), own.alias("_text"))
+    leaks = stored(find_leaks(docs, items, "_id", "_text", **names).filter("contaminated").select(F.col("_id").alias("_gone")).distinct())
+    gone = F.broadcast(leaks) if leaks.count() <= most_sent else leaks
+    return whole.join(gone, F.col("_mark") == F.col("_gone"), "left_anti").select("_row.*")

@@ -5,7 +5,8 @@ long hexadecimal strings.  The method adds strings that no pattern names:
 
 Dictionary-primed zstandard novelty.  Candidates are strings of one of the usual secret
 alphabets near a sensitive word, in front of it or behind, or near a string that is reported
-itself, so all lines of a key are tested (pieces of less than 12 characters are not).  What a candidate costs is measured in bytes: the
+itself, so all lines of a key are tested.  Strings of less than 12 characters, without a digit or
+of digits alone are words and numbers, not candidates.  What a candidate costs is measured in bytes: the
 compressed size of its surroundings with it less that without it, both against a dictionary
 of the identifiers and words that surround keys in code and settings.  Names, paths,
 placeholders and repetitions of the surroundings cost little; a key can't be compressed.
@@ -14,7 +15,8 @@ long key, or among other keys, the coder adapts to the alphabet, so where the ch
 as evenly as random ones of an alphabet, nearly the entropy of that alphabet is enough.
 
 Every row is judged alone: nothing is shuffled and memory is that of one text.  Spans are
-in code points, end exclusive.  Null text is empty; repeated rows give the same result each.
+in code points, end exclusive.  Null text is empty; repeated rows give the same result each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ SENSITIVE = re.compile(
     r"passphrase|passw|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|credential|bearer|authorization",
     re.IGNORECASE | re.ASCII,
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{12,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=~-]{{{LEAST},}}")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 SENSITIVE_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 REACH = 48
@@ -90,18 +93,21 @@ def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
     words = [m.span() for m in SENSITIVE.finditer(text)]
     if not words:
         return
-    starts, at = [s for s, _ in words], 0
-    while m := CANDIDATE.search(text, at):
-        start, at = m.span()
+    starts = [s for s, _ in words]
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
         k = bisect_left(starts, start)
-        if k < len(words) and starts[k] < min(at, start + 12):
-            at = words[k][1]
+        start = max(start, words[k - 1][1] if k else 0)  # a word with a blank may reach into the string
+        while k < len(words) and starts[k] < min(end, start + LEAST):
+            start = words[k][1]
+            k = bisect_left(starts, start, k)
+        if end - start < LEAST:
             continue
-        s = m.group()
+        s = text[start:end]
         kinds = any(c.isdigit() for c in s) + any(c.islower() for c in s) + any(c.isupper() for c in s)
         if kinds >= 2 and any(c.isdigit() for c in s):
-            after = bisect_left(starts, at)
-            yield start, at, (k > 0 and start - words[k - 1][1] <= REACH) or k < after or (after < len(words) and starts[after] - at <= REACH)
+            after = bisect_left(starts, end)
+            yield start, end, (k > 0 and start - words[k - 1][1] <= REACH) or k < after or (after < len(words) and starts[after] - end <= REACH)
 
 
 def uniform_alphabet(s: str) -> int:
@@ -133,16 +139,33 @@ class Novelty:
         return self.cost(text, start, end) >= (min(least_cost, SHARE * math.log2(size) / 8) if size else least_cost)
 
 
+class Spans:
+    """Which stretches of a text the given (start, kind, end) cover."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for start, _, end in sorted(found):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meet(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+
 def scan(text: str, novelty: Novelty, least_cost: float) -> list[tuple[int, int, int]]:
     found = base_spans(text)
-    base = list(found)
+    base = Spans(found)
     strings = list(candidates(text))
     judged: dict[int, bool] = {}
 
     def secret(i: int) -> bool:
         start, end, _ = strings[i]
         if i not in judged:
-            judged[i] = any(s < end and start < e for s, _, e in base) or novelty.novel(text, start, end, least_cost)
+            judged[i] = base.meet(start, end) or novelty.novel(text, start, end, least_cost)
         return judged[i]
 
     taken: set[int] = set()
@@ -154,7 +177,7 @@ def scan(text: str, novelty: Novelty, least_cost: float) -> list[tuple[int, int,
                 taken.add(i)
     for i in taken:
         start, end, _ = strings[i]
-        if not any(s < end and start < e for s, _, e in base):
+        if not base.meet(start, end):
             found.append((start, 3, end))
     return sorted(found)
 
@@ -163,7 +186,7 @@ def spell(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in found)
 
 
-SCHEMA = "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, least_cost: float = 0.8) -> DataFrame:
@@ -179,7 +202,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", keep: list[str] | None =
                 found = scan(text or "", novelty, least_cost)
                 base = spell([x for x in found if x[1] < 3])
                 n = [sum(x[1] == k for x in found) for k in range(4)]
-                rows.append((*n, hashlib.sha256(base.encode()).hexdigest(), spell(found)))
+                rows.append((*n[:3], hashlib.sha256(base.encode()).hexdigest(), spell(found), n[3]))
             return dict(zip(schema.names, zip(*rows))) if rows else {k: [] for k in schema.names}
 
         return kernel
