@@ -14,8 +14,8 @@ addresses, IBANs and names are hashes.  Collision checks keep all of them distin
 entities of the corpus are hashed once; of those that share a surrogate one keeps it, the others,
 any whose surrogate is the entity itself and any hashed one whose surrogate is an entity of the
 corpus get the next one of their sequence, until none collide (surrogates grow longer with each
-round, so rounds end).  A bitmap of fixed size of these exceptions is looked up in every text:
-texts that hold none are projected, only the others are shuffled to get their numbers.
+round, so rounds end).  Texts are told by a hash: those that hold an exception are marked in a
+bitmap of fixed size; only texts that hit it are shuffled to get their numbers, all others are projected.
 
 The key is a literal of the plan: logs that hold plans are as secret as the key.  Names are found
 behind a title only, up to four parts; local parts of addresses up to 64 characters.
@@ -272,10 +272,20 @@ def matches(text: Column) -> Column:
     return F.when(text.rlike(HINT), by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), 0))).otherwise(none)
 
 
-def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, norm) of the corpus."""
-    found = df.select(F.explode(matches(F.col(text_col))).alias("m")).withColumn("kind", kind_of(F.col("m")))
-    return found.select("kind", norm_of(F.col("m"), F.col("kind")).alias("norm")).distinct()
+def mark_of(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("l"))
+
+
+def found_in(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(mark, m): texts with entities, by hash and length, and their matches in order."""
+    text = F.col(f"`{text_col}`")
+    return df.select(mark_of(text).alias("mark"), matches(text).alias("m")).filter(F.size("m") > 0)
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """Distinct (kind, norm) of ``found_in``."""
+    each = found.select(F.explode("m").alias("m")).withColumn("kind", kind_of(F.col("m")))
+    return each.select("kind", norm_of(F.col("m"), F.col("kind")).alias("norm")).distinct()
 
 
 def exceptions(known: DataFrame, key: str, rounds: int = 60) -> DataFrame | None:
@@ -302,24 +312,20 @@ def exceptions(known: DataFrame, key: str, rounds: int = 60) -> DataFrame | None
     raise RuntimeError("surrogates still collide")
 
 
-def name_of(kind: Column, norm: Column) -> Column:
-    return F.xxhash64(kind, norm)
-
-
-def among(odd: DataFrame):
-    """A test of the hash of an entity: never wrong on one of ``odd``, rarely right on another while they are few."""
-    n = odd.count()
+def among(hashes: DataFrame):
+    """A test for the numbers of the column ``h``: never wrong on one of them, rarely right on another while they are few."""
+    n = hashes.count()
     bits = 10
     while (1 << bits) < 64 * n and bits < MOST_BITS:
         bits += 1
     slot = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1))
-    by = odd.select(slot(name_of(F.col("kind"), F.col("norm"))).alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("at"))
+    by = hashes.select(slot(F.col("h")).alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("at"))
     rows = by.agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("word")).collect()  # at most 2 ** (MOST_BITS - 6)
     table = [0] * (1 << (bits - 6))
     for r in rows:
         table[r["at"]] = r["word"]
     words = F.from_json(F.lit(str(table)), "array<bigint>")
-    return lambda h: let(slot(h), lambda s: F.getbit(F.get(words, F.floor(s / 64).cast("int")), (s % 64).cast("int")) == 1)
+    return lambda h: F.getbit(F.get(words, F.floor(slot(h) / 64).cast("int")), (slot(h) % 64).cast("int")) == 1
 
 
 def replaced(text: Column, found: Column, attempts: Column | None, key: str) -> Column:
@@ -340,29 +346,27 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", known: DataFra
     ``known``: distinct entities of a larger corpus that surrogates must stay distinct over."""
     if count_col in df.columns:
         raise ValueError(f"{count_col} is a column of the input; name another count_col")
-    own = stored(known if known is not None else entities(df, text_col))
+    text = F.col(f"`{text_col}`")
+    found = stored(found_in(df, text_col))
+    own = stored(known if known is not None else entities(found))
     odd = exceptions(own, key)
     discard(own)
-    text = F.col(f"`{text_col}`")
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), text.alias("_text"), matches(text).alias("_m"))
-    clean = lambda attempts: replaced(F.col("_text"), F.col("_m"), attempts, key).alias("_clean")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), text.alias("_text"))
+
+    def clean(rows: DataFrame, attempts: Column | None) -> DataFrame:
+        made = rows.withColumn("_m", matches(F.col("_text")))
+        return made.select("_row", replaced(F.col("_text"), F.col("_m"), attempts, key).alias("_clean"), F.size("_m").alias("_n"))
+
     if odd is None:
-        made = whole.select("_row", clean(None), F.size("_m").alias("_n"))
+        made = clean(whole, None)
+        discard(found)
     else:
-        listed = among(odd)
-        is_odd = lambda m: let(kind_of(m), lambda k: listed(name_of(k, norm_of(m, k))))
-        asks = F.exists("_m", is_odd)
-        asking = whole.filter(asks).withColumn("_h", F.md5("_text"))
-        placed = (
-            asking.select("_h", F.posexplode("_m").alias("i", "m"))
-            .filter(is_odd(F.col("m")))
-            .withColumn("kind", kind_of(F.col("m")))
-            .select("_h", "i", "kind", norm_of(F.col("m"), F.col("kind")).alias("norm"))
-            .distinct()
-            .join(odd, ["kind", "norm"])
-            .groupBy("_h")
-            .agg(F.map_from_entries(F.collect_set(F.struct("i", "attempt"))).alias("_attempts"))
-        )
-        own_numbers = asking.join(placed, "_h", "left").select("_row", clean(F.col("_attempts")), F.size("_m").alias("_n"))
-        made = whole.filter(~F.coalesce(asks, F.lit(False))).select("_row", clean(None), F.size("_m").alias("_n")).unionByName(own_numbers)
+        each = found.select("mark", F.posexplode("m").alias("i", "m")).withColumn("kind", kind_of(F.col("m")))
+        each = each.select("mark", "i", "kind", norm_of(F.col("m"), F.col("kind")).alias("norm")).distinct()
+        placed = each.join(odd, ["kind", "norm"]).groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("i", "attempt"))).alias("_attempts"))
+        placed = stored(placed)
+        discard(found)
+        asks = F.coalesce(among(placed.select("mark.h"))(F.xxhash64("_text")), F.lit(False))
+        asking = whole.filter(asks).withColumn("mark", mark_of(F.col("_text"))).join(placed, "mark", "left")
+        made = clean(whole.filter(~asks), None).unionByName(clean(asking, F.col("_attempts")))
     return made.select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns], F.col("_n").alias(count_col))
