@@ -6,8 +6,10 @@ All functions return null for null unless they say otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The white space class, the same in Java and RE2.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -16,6 +18,31 @@ NBSP, ZWSP, PLAY = " ", "​", "▶"
 #: Joins single letters set apart, as in "L e a k y".
 SPACED_LETTERS = r"(?:(?<![A-Za-z\\])(?=(?:[A-Za-z] ){2,}[A-Za-z](?![A-Za-z]))|(?!^)\G)([A-Za-z]) (?=[A-Za-z](?![A-Za-z]))"
 
+#: Symbols and what LaTeX writes for them, in the order of replacement.
+LATEX_SYMBOLS = (
+    ("⊺", r"^\top"), ("×", r" \times "), ("·", r" \cdot "), ("∑", r"\sum "), ("∏", r"\prod "), ("√", r"\sqrt "), ("∈", r" \in "),
+    ("∼", r" \sim "), ("∞", r"\infty"), ("α", r"\alpha"), ("β", r"\beta"), ("γ", r"\gamma"), ("δ", r"\delta"), ("θ", r"\theta"),
+    ("λ", r"\lambda"), ("μ", r"\mu"), ("σ", r"\sigma"), ("π", r"\pi"), ("ℓ", r"\ell"), ("...", r" \ldots "),
+)
+#: Patterns and replacements (Java) that follow, in this order.
+LATEX_REPAIRS = (
+    (WS + "+/+" + WS + "*", " / "),
+    (WS + r"*\|" + WS + "*", " | "),
+    ("([A-Za-z])" + WS + r"+\(", "$1("),
+    (r"\(" + WS + "+", "("),
+    (WS + r"+\)", ")"),
+    (WS + r"+([=+\-<>])" + WS + "+", " $1 "),
+    (WS + "*," + WS + "*", ", "),
+    (WS + "*;" + WS + "*", "; "),
+    (r"([A-Za-z\\]+)" + WS + r"+\^\\top", r"$1^\\top"),
+    (r"\\(sum|prod)" + WS + "+([A-Za-z])" + WS + "*=" + WS + "*([0-9A-Za-z]+)", r"\\$1_{$2=$3}"),
+    ("([A-Za-z])" + WS + r"+\((i|j|k|n|N|[0-9]+)\)", "$1^{($2)}"),
+    (r"\(" + WS + "*1 -" + WS + "*", "(1 - "),
+)
+#: Signs that make a formula of even a short text.
+STRUCTURE = r"[=<>\\^_(){}\[\]]"
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "with")
+
 
 def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
@@ -52,6 +79,50 @@ def strip_control(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
 
 
+def strip_control_nested(c: Column, of: T.DataType) -> Column:
+    """``strip_control`` of every string in a value of type ``of``; nulls stay."""
+    if isinstance(of, T.StringType):
+        return strip_control(c)
+    if isinstance(of, T.ArrayType):
+        return F.transform(c, lambda x: strip_control_nested(x, of.elementType))
+    if isinstance(of, T.MapType):
+        return F.transform_values(c, lambda k, v: strip_control_nested(v, of.valueType))
+    if isinstance(of, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[strip_control_nested(c[f.name], f.dataType).alias(f.name) for f in of.fields]))
+    return c
+
+
+def decode_unicode_escapes(c: Column) -> Column:
+    """Escapes of a text with a backslash and u decoded as Python does, which reads its other bytes as Latin-1; as it was where that fails.
+
+    No built-in function knows these escapes, so this is Arrow-batched Python: use it on texts of models, not on a corpus."""
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None or "\\u" not in t:
+                return t
+            try:
+                return t.encode("utf-8").decode("unicode_escape").encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+            except UnicodeDecodeError:
+                return t
+
+        return texts.map(one)
+
+    return decode(c)
+
+
+def document_id(stem: Column, course: Column) -> Column:
+    """Slug of a file name, behind the course unless it begins with it."""
+    slug = slugify(stem)
+    return F.when(F.startswith(slug, course), slug).otherwise(F.concat_ws("_", course, slug))
+
+
+def document_title(stem: Column, course: str) -> Column:
+    """File name without the course in front, whatever its case."""
+    return F.regexp_replace(stem, rf"(?i)^{course}[-_]*", "")
+
+
 def slugify(c: Column, default: str = "document") -> Column:
     return F.coalesce(empty_to_null(F.lower(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit("_")))), F.lit(default))
 
@@ -115,6 +186,36 @@ def clean_formula(c: Column) -> Column:
     return collapse(out)
 
 
+def repair_latex(c: Column) -> Column:
+    """A clean formula with symbols as commands, even blanks around operators, and limits and indices in braces."""
+    out = clean_formula(c)
+    for symbol, command in LATEX_SYMBOLS:
+        out = F.replace(out, F.lit(symbol), F.lit(command))
+    for pattern, by in LATEX_REPAIRS:
+        out = F.regexp_replace(out, pattern, by)
+    return collapse(out)
+
+
+def latex_of_formula(c: Column) -> Column:
+    """Repaired formula; null for empty ones and for fewer than six characters without any structure."""
+    out = repair_latex(c)
+    return F.when((clean_formula(c) != "") & (out.rlike(STRUCTURE) | (F.length(out) >= 6)), out)
+
+
+def normalized_keyword(c: Column) -> Column:
+    """Keyword without punctuation at its ends; null without a word, with over five, or of stop words alone."""
+    phrase = F.trim(clean_text(c), F.lit(" ,.;:()[]{}"))
+    words = F.regexp_extract_all(F.lower(phrase), F.lit(r"[A-Za-z][A-Za-z0-9_\-]*"), 0)
+    telling = F.exists(words, lambda w: ~w.isin(*STOPWORDS))
+    return F.when(telling & (F.size(words) <= 5), phrase)
+
+
+def sanitized_keywords(c: Column, most: int = 10) -> Column:
+    """Normalised keywords, the first spelling of each, at most ``most``."""
+    kept = F.filter(F.transform(c, normalized_keyword), lambda k: k.isNotNull())
+    return F.slice(F.filter(kept, lambda k, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda q: F.lower(q) == F.lower(k))), 1, most)
+
+
 def strip_latex(c: Column) -> Column:
     """Without the first wrapper that fits: $$, $, \\[ \\] or \\( \\)."""
     t = F.trim(c)
@@ -139,8 +240,10 @@ def parse_model_json(c: Column, schema: str) -> Column:
     return F.when(ok(bare), read(bare)).when(ok(mended), read(mended))
 
 
-def formula_quality(c: Column, *, max_rule: bool = True, command_rule: bool = True) -> Column:
-    """good, noisy or truncated; the last also for null.  The rules in front win."""
+def formula_quality(c: Column, *, max_rule: bool = True, command_rule: bool = True, text_rule: bool = True, accent_rule: bool = True) -> Column:
+    """good, noisy or truncated; the last also for null.  The rules in front win.
+
+    Three sets are in use: all rules; without ``max_rule`` and ``command_rule``; without any of the four."""
     t = F.trim(F.coalesce(c, F.lit("")))
     count = lambda ch: F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
     braces, parens = F.abs(count("{") - count("}")), F.abs(count("(") - count(")"))
@@ -149,7 +252,7 @@ def formula_quality(c: Column, *, max_rule: bool = True, command_rule: bool = Tr
         .when((braces >= 2) | (parens >= 2), "truncated")
         .when(t.rlike(r"[=+\-\\{(]$"), "truncated")
         .when(t.rlike(r"^(?:[0-3]\)|\\\\|&)"), "truncated")
-        .when(F.contains(t, F.lit("\\text {")) & F.contains(t, F.lit("\\\\")) & (F.length(t) > 120), "truncated")
+        .when(F.lit(text_rule) & F.contains(t, F.lit("\\text {")) & F.contains(t, F.lit("\\\\")) & (F.length(t) > 120), "truncated")
         .when(t.rlike(r"(?:[A-Za-z]" + WS + r"+){3,}[A-Za-z](?![A-Za-z])"), "noisy")
         .when(F.contains(t, F.lit("\\ ")) | t.rlike(r"\\\\" + WS + "+[A-Za-z]"), "noisy")
     )
@@ -158,7 +261,7 @@ def formula_quality(c: Column, *, max_rule: bool = True, command_rule: bool = Tr
     if command_rule:
         out = out.when(t.rlike(r"\\[A-Za-z]+" + WS + "+[A-Za-z]+"), "noisy")
     return (
-        out.when(F.contains(t, F.lit("\\mathring")) | F.contains(t, F.lit("\\intercal")), "noisy")
+        out.when(F.lit(accent_rule) & (F.contains(t, F.lit("\\mathring")) | F.contains(t, F.lit("\\intercal"))), "noisy")
         .when((braces == 1) | (parens == 1), "noisy")
         .otherwise("good")
     )

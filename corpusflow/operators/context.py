@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import clean_line, clean_text
 
 LEAST_CHARS = 16
+ADDED = ("section_title", "nearby_text_before", "nearby_text_after")
+
+
+#: Where blocks without a reading order stand.
+NO_ORDER = 1_000_000_000
 
 
 def in_page() -> WindowSpec:
-    return Window.partitionBy("doc_id", "page_no").orderBy("reading_order")
+    return Window.partitionBy("doc_id", "page_no").orderBy(F.coalesce("reading_order", F.lit(NO_ORDER)))
 
 
 def in_document() -> WindowSpec:
@@ -48,7 +53,7 @@ def with_merged_section_title(blocks: DataFrame) -> DataFrame:
 
 def with_formula_section_title(blocks: DataFrame) -> DataFrame:
     """For formulas: like enrichment, but an empty title counts as one."""
-    return blocks.withColumn("section_title", section_title(F.when(F.col("type") == "title", F.coalesce("text", F.lit(""))), 0))
+    return blocks.withColumn("section_title", section_title(F.when(F.col("type") == "title", clean_line(F.col("text"))), 0))
 
 
 def with_nearby_text(blocks: DataFrame, limit: int = 3) -> DataFrame:
@@ -73,6 +78,24 @@ def without_lead(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_first", first).filter(F.col("_first").isNull() | (F.col("_first") <= 1) | (F.col("reading_order") >= F.col("_first"))).drop("_first")
 
 
+def with_block_context(blocks: DataFrame) -> DataFrame:
+    """For the merge: texts get a section title and nearby texts where the blocks bring none."""
+    own = F.col("type") == "text"
+    made = with_nearby_text(with_merged_section_title(blocks.drop(*ADDED)))
+    given = [c for c in ADDED if c in blocks.columns]
+    if given:
+        made = made.drop(*given).join(blocks.select("block_id", *given), "block_id")
+    return made.select(*[F.when(own, F.col(c)).alias(c) if c in ADDED and c not in given else F.col(c) for c in made.columns])
+
+
+def before_and_after(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Blocks by type before and after a step, and how many went: type, before, after, dropped."""
+    n = lambda df, name: df.groupBy("type").agg(F.count("*").alias(name))
+    both = n(before, "before").join(n(after, "after"), "type", "full")
+    both = both.select("type", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return both.withColumn("dropped", F.col("before") - F.col("after"))
+
+
 def type_counts(blocks: DataFrame) -> DataFrame:
     kinds = ("title", "text", "table", "figure", "formula")
     return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds])

@@ -10,7 +10,9 @@ from ..functions.text import WS, collapse, token_count
 # Fixed values.
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 SLASHED = rf"{NUMBER}(?:/{NUMBER}){{1,3}}"
-PURE_NUMBER = rf"^(?:{NUMBER}(?:[MK%]|M)?|[0-9]+(?:,[0-9]{{3}})+(?:\.[0-9]+)?[MK%]?|{SLASHED})$"
+#: Numbers that are noise on their own, and numbers that fill a cell.
+NOISE_NUMBERS = (rf"^{NUMBER}[MK%]?$", r"^[0-9]+(?:,[0-9]{3})+(?:\.[0-9]+)?[MK%]?$", rf"^{SLASHED}$")
+CELL_NUMBERS = (rf"^{NUMBER}[MK%]?$", rf"^{SLASHED}$", r"^[0-9]+(?:,[0-9]{3})+(?:\.[0-9]+)?[MK]?$")
 SCORING = rf"(?i)^(?:Full|Partial){WS}+Scoring:{WS}*P{WS}*\("
 METRIC_NAME = r"\b(?:BLEU|F1|Acc|Accuracy|SST-2|MRPC|MNLI|QQP|STS-B|SQuAD|SuperGLUE)\b"
 METRIC_CELL = (
@@ -30,7 +32,19 @@ DEMO_WORDS = r"(?i)\b(?:hugging face|billing|account access|website|mobile|winog
 
 
 def bare(text: Column) -> Column:
-    return F.trim(F.coalesce(text, F.lit("")))
+    """Without white space at the ends; null becomes the empty text."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{WS}+|{WS}+$", "")
+
+
+def matches_any(text: Column, patterns: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in patterns:
+        found = found | text.rlike(p)
+    return found
+
+
+def digit_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\p{Nd}"))
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -72,7 +86,7 @@ def is_table_fragment(text: Column) -> Column:
     t = bare(text)
     flat = collapse(t)
     return (t != "") & (token_count(t) <= 4) & (F.length(t) <= 64) & (
-        flat.rlike(PURE_NUMBER) | flat.rlike(METRIC_CELL) | flat.rlike(MODEL_CELL)
+        matches_any(flat, CELL_NUMBERS) | flat.rlike(METRIC_CELL) | flat.rlike(MODEL_CELL)
         | F.contains(flat, F.lit("|")) | F.lower(flat).isin(*HEADER_WORDS) | flat.rlike(HEADER_CELL)
     )
 
@@ -81,11 +95,10 @@ def is_obvious_noise(text: Column) -> Column:
     """The first rule that applies decides."""
     t = bare(text)
     words, chars = token_count(t), F.length(t)
-    digits = chars - F.length(F.regexp_replace(t, r"\p{Nd}", ""))
-    dense = (count(t, NUMBER) >= 3) | (digits / F.greatest(chars, F.lit(1)) >= 0.35)
+    dense = (count(t, NUMBER) >= 3) | (digit_count(t) / F.greatest(chars, F.lit(1)) >= 0.35)
     sentence = (words >= 5) & t.rlike("[a-z]{3,}")
     return (
-        F.when(t == "", False).when(words <= 2, True).when(chars <= 12, True).when(t.rlike(SCORING), False).when(t.rlike(PURE_NUMBER), True)
+        F.when(t == "", False).when(words <= 2, True).when(chars <= 12, True).when(t.rlike(SCORING), False).when(matches_any(t, NOISE_NUMBERS), True)
         .when(dense & ~sentence, True).when(is_noisy(t), True).when(is_table_fragment(t) & ~sentence, True).otherwise(False)
     )
 

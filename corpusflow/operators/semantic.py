@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_WS
+from ..functions.text import clean_text, section_key, token_count
 from ..functions.vectors import cosine
+from ..storage import stored
 
 QUANTILE, HIGH_QUANTILE = 0.45, 0.80
 LEAST_TOKENS, MOST_TOKENS = 400, 800
@@ -25,17 +29,53 @@ def adjacent_similarity(records: DataFrame) -> DataFrame:
     return both.filter(usable).select("doc_id", "chunk_id", cosine(F.col("_before"), F.col("embedding")).alias("similarity"))
 
 
+MARKS = (0.10, 0.25, 0.50, 0.60, 0.75, 0.85, 0.90)
+
+
+def values_at(df: DataFrame, column: str, ranks: list[int], bins: int = 4096) -> dict[int, float]:
+    """Values at 0-based ranks of a sorted column without nulls, exactly.
+
+    A histogram tells which bin a rank falls into, and that bin is cut again, until a bin holds one value
+    only: a row for each bin reaches the driver, however many values there are."""
+    v = F.col(column).cast("double")
+    least, most, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    open_ = {r: (least, most, 0) for r in ranks}  # bounds, both included, and how many values are below
+    found: dict[int, float] = {}
+    while open_:
+        spans = sorted({(lo, hi, below) for lo, hi, below in open_.values()})
+        kept = None
+        for i, (lo, hi, _) in enumerate(spans):
+            at = F.least(F.floor((v - F.lit(lo)) / F.lit((hi - lo) or 1.0) * bins).cast("int"), F.lit(bins - 1))
+            test = F.when(v.between(lo, hi), F.struct(F.lit(i).alias("span"), at.alias("at")))
+            kept = test if kept is None else F.coalesce(kept, test)
+        rows = df.select(kept.alias("b"), v.alias("v")).filter("b is not null").groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        by = {i: sorted((r["b"]["at"], r["n"], r["lo"], r["hi"]) for r in rows if r["b"]["span"] == i) for i in range(len(spans))}
+        for rank, span in list(open_.items()):
+            below = span[2]
+            for _, n, lo, hi in by[spans.index(span)]:
+                if rank < below + n:
+                    if lo == hi:
+                        found[rank] = lo
+                        del open_[rank]
+                    else:
+                        open_[rank] = (lo, hi, below)
+                    break
+                below += n
+    return found
+
+
 def similarity_thresholds(similarities: DataFrame, quantile: float = QUANTILE, high: float = HIGH_QUANTILE) -> DataFrame:
     """A row: the distribution and both thresholds (exact, interpolated; 0 without any similarity)."""
-    marks = (0.10, 0.25, 0.50, 0.60, 0.75, 0.85, 0.90, quantile, high)
-    at = F.percentile("similarity", F.array(*[F.lit(m) for m in marks]))
-    row = similarities.agg(F.count("*").alias("n"), F.min("similarity").alias("least"), F.max("similarity").alias("most"), at.alias("p"))
-    value = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(0.0))
-    names = ("p10", "p25", "p50", "p60", "p75", "p85", "p90")
-    return row.select(
-        "n", F.coalesce("least", F.lit(0.0)).alias("least"), *[value(i).alias(k) for i, k in enumerate(names)], F.coalesce("most", F.lit(0.0)).alias("most"),
-        value(7).alias("threshold"), F.greatest(value(7), value(8)).alias("high_threshold"),
-    )
+    known = similarities.select("similarity").filter("similarity is not null")
+    n = known.count()
+    names = ["least", *[f"p{round(100 * m)}" for m in MARKS], "most", "threshold", "high_threshold"]
+    at = [0.0, *MARKS, 1.0, quantile, high]
+    places = [q * (n - 1) for q in at]
+    exact = values_at(known, "similarity", sorted({r for p in places for r in (math.floor(p), math.ceil(p))})) if n else {}
+    between = lambda p: exact[math.floor(p)] + (p - math.floor(p)) * (exact[math.ceil(p)] - exact[math.floor(p)])
+    made = dict(zip(names, [float(between(p)) if n else 0.0 for p in places]))
+    made["high_threshold"] = max(made["threshold"], made["high_threshold"])
+    return similarities.sparkSession.createDataFrame([(n, *made.values())], "n long, " + ", ".join(f"{k} double" for k in names))
 
 
 CHUNK_SCHEMA = (
@@ -97,24 +137,48 @@ def semantic_chunks(records: DataFrame, low: float, high: float, least: int = LE
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fold_document(rows, low, high, least, most)).reindex(columns=names)
 
-    folded = records.groupBy("doc_id").applyInPandas(run, schema)
-    # Numbers run over documents: offsets come from a count for each document, so no chunk moves to one task.
-    per_doc = folded.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    offset = F.sum("_n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    folded = stored(records.groupBy("doc_id").applyInPandas(run, schema))
+    # Numbers run over documents: counts by document are sorted by range, and only a count for each range reaches the driver.
+    per_doc = stored(folded.groupBy("doc_id").agg(F.count("*").alias("_n")).repartitionByRange("doc_id").withColumn("_range", F.spark_partition_id()))
+    sizes = sorted(per_doc.groupBy("_range").agg(F.sum("_n")).collect())
+    starts = dict(zip([r for r, _ in sizes], itertools.accumulate([0, *[n for _, n in sizes]])))
+    start = F.create_map(*[F.lit(x) for r, n in starts.items() for x in (r, n)])[F.col("_range")] if starts else F.lit(0)
+    ahead = F.sum("_n").over(Window.partitionBy("_range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
     inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("first_page", "first_block", F.get("chunk_ids", F.lit(0))))
-    numbered = folded.join(per_doc.withColumn("_offset", F.coalesce(offset, F.lit(0))), "doc_id").withColumn("ordinal", F.col("_offset") + inside)
+    numbered = folded.join(per_doc.select("doc_id", (start + F.coalesce(ahead, F.lit(0))).alias("_offset")), "doc_id").withColumn("ordinal", F.col("_offset") + inside)
     return numbered.withColumn("semantic_chunk_id", F.format_string("%s_semantic_%04d", F.col("doc_id").cast("string"), F.col("ordinal"))).withColumn(
         "content_for_embedding", F.array_join("texts", " ")
-    ).drop("_n", "_offset")
+    ).drop("_offset")
+
+
+def atomic_records(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Records for the fold: vectors (id, values) with their chunk; of chunks of an id the last ``chunk_no`` counts, and those
+    without text or vector go.
+
+    ``chunks``: as ``atomic_chunks`` gives them, with ``chunk_no``."""
+    last = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("content_for_embedding", "content_for_generation", "metadata", "block_no"), "chunk_no").alias("c"))
+    both = vectors.select(F.col("id").alias("chunk_id"), F.col("values").alias("embedding")).join(last, "chunk_id")
+    text = F.coalesce("c.content_for_embedding", F.lit(""))
+    return both.filter(text != "").select(
+        F.col("c.metadata.doc_id").alias("doc_id"), F.coalesce("c.metadata.page_no", F.lit(0)).cast("int").alias("page_no"), F.col("c.block_no").alias("block_no"),
+        "chunk_id", section_key(F.col("c.content_for_generation.section_title")).alias("section_key"), token_count(text).cast("long").alias("token_count"),
+        text.alias("text"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
 
 
 def is_scan_noise(text):
-    """Texts of six tokens or more with many odd tokens or characters; an empty text counts as noise."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NOT_WS + "+"), 0)
-    odd = F.size(F.filter(tokens, lambda t: t.rlike(r"(.)\1\1") | ~t.rlike(r"[A-Za-z0-9]")))
-    weird = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\[\]{}%$&/+*=<>_-]"))
-    return F.when(F.size(tokens) == 0, True).when(F.size(tokens) < 6, False).otherwise(
-        (odd / F.size(tokens) >= 0.35) | (weird / F.greatest(F.length(text), F.lit(1)) >= 0.08)
+    """Texts of six tokens or more with many odd words or characters; an empty text counts as noise.
+
+    Odd words: one letter but a or i, five letters or more without a vowel, a letter three times in a row."""
+    clean = clean_text(text)
+    words = F.regexp_extract_all(F.lower(clean), F.lit("[a-z0-9']+"), 0)
+    letters = F.transform(words, lambda w: F.regexp_replace(w, "[^a-z]", ""))
+    lone = lambda w: (F.length(w) == 1) & ~w.isin("a", "i")
+    odd = F.size(F.filter(letters, lambda w: lone(w) | ((F.length(w) >= 5) & ~w.rlike("[aeiouy]")) | w.rlike(r"(.)\1\1")))
+    strange = F.regexp_count(clean, F.lit(r"""[^A-Za-z0-9\s,.;:!?()\[\]{}'"/%+\-=]"""))
+    dense = F.length(F.replace(clean, F.lit(" "), F.lit("")))
+    return F.when(clean.isNull(), True).when(token_count(clean) < 6, False).otherwise(
+        (odd / F.greatest(F.size(words), F.lit(1)) >= 0.35) | (strange / F.greatest(dense, F.lit(1)) >= 0.08)
     )
 
 
@@ -131,3 +195,18 @@ def attach_auxiliary(chunks: DataFrame, figures: DataFrame, host_tokens: int = H
     return both.groupBy("doc_id", "chunk_id").agg(F.min(F.struct(page_gap.alias("page_gap"), block_gap.alias("block_gap"), "ordinal")).alias("h")).select(
         "doc_id", "chunk_id", "h.ordinal", "h.page_gap", "h.block_gap"
     )
+
+
+def with_auxiliary(chunks: DataFrame, figures: DataFrame, host_tokens: int = HOST_TOKENS) -> DataFrame:
+    """``chunks`` with the ids of the figures attached to each (``auxiliary_chunk_ids``) and their content (``auxiliary_chunks``), in
+    reading order; empty arrays for the others.
+
+    ``figures``: doc_id, chunk_id, page_no, block_no, content_for_generation."""
+    hosts = attach_auxiliary(chunks, figures, host_tokens).select("doc_id", "chunk_id", "ordinal")
+    item = F.struct("page_no", "block_no", "chunk_id", "content_for_generation")
+    given = hosts.join(figures, ["doc_id", "chunk_id"]).groupBy("ordinal").agg(F.array_sort(F.collect_list(item)).alias("_a"))
+    none = F.array().cast(given.schema["_a"].dataType)
+    return chunks.join(given, "ordinal", "left").withColumn("_a", F.coalesce("_a", none)).select(
+        *chunks.columns, F.transform("_a", lambda x: x["chunk_id"]).alias("auxiliary_chunk_ids"),
+        F.transform("_a", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["content_for_generation"].alias("content_for_generation"))).alias("auxiliary_chunks"),
+    )
