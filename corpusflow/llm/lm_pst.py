@@ -49,6 +49,8 @@ from .common import fold, stored
 
 BITS = 26  # of the largest bitmap
 FLUSH = 1_500_000
+BLOCK = 250_000  # words that are handled at once
+KEYS_PER_TASK = 1_500_000
 SALT = 0x5851F42D4C957F2D  # tells keys of words from those of sequences
 
 
@@ -144,31 +146,65 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None):
-    """(ends, hashes) of the sequences of 1, 2, ... words all of whose words and pairs are marked."""
+def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None, first: np.ndarray | None = None):
+    """(ends, hashes) of the sequences of 1, 2, ... words all of whose words and pairs are marked.
+
+    ``first`` is true where a text begins, if ``w`` holds several: no sequence crosses such a place."""
     ends = np.flatnonzero(marked(words, w))
     hashes = w[ends]
     linked = None
     while len(ends):
         yield ends, hashes
         # A sequence that ends one word earlier and may be followed by this one.
-        go = ends[:-1][np.diff(ends) == 1] if linked is None else None
         if linked is None:
-            place = np.full(len(w), -1)
-            place[ends] = np.arange(len(ends))
-            nxt = go + 1
-            both = longer(hashes[place[go]], w[nxt])
+            at = np.flatnonzero(np.diff(ends) == 1)
+            if first is not None:
+                at = at[~first[ends[at] + 1]]
+            nxt = ends[at] + 1
+            both = longer(hashes[at], w[nxt])
             if pairs is not None:
                 ok = marked(pairs, both)
                 nxt, both = nxt[ok], both[ok]
-            linked = np.zeros(len(w), bool)
+            linked = np.zeros(len(w) + 1, bool)
             linked[nxt] = True
             ends, hashes = nxt, both
         else:
-            go = (ends + 1 < len(w)) & linked[np.minimum(ends + 1, len(w) - 1)]
+            go = linked[ends + 1]
             ends, hashes = ends[go] + 1, longer(hashes[go], w[ends[go] + 1])
 
 
+def blocks_of_words(batches, whole: bool):
+    """(hashes of words, where texts begin) of about BLOCK words; ``whole``: the column holds texts, else arrays of hashes."""
+    hashes = Hashes()
+    held: list[np.ndarray] = []
+    size = 0
+
+    def made():
+        sizes = np.array([len(x) for x in held])
+        w = np.concatenate(held)
+        first = np.zeros(len(w), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        return w, first
+
+    for batch in batches:
+        if not whole:
+            column = batch.column(0)
+            offsets, w = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            if offsets[-1] > offsets[0]:
+                first = np.zeros(len(w), bool)
+                first[offsets[:-1][np.diff(offsets) > 0]] = True
+                yield w[offsets[0] : offsets[-1]], first[offsets[0] : offsets[-1]]
+            continue
+        for text in batch.column(0).to_pylist():
+            held.append(hashes.of(tokens(text)))
+            size += len(held[-1])
+            if size >= BLOCK:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
+
+
 def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) -> DataFrame:
     """Arrays of the hashes of words of the stretches in which contexts of more than ``length`` words can end."""
     shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, symbols))
@@ -199,67 +235,106 @@ def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) ->
     return train.select("text").mapInArrow(run, "w array<bigint>")
 
 
-def count_sequences(train: DataFrame, length: int, words, pairs, extended, listed) -> DataFrame:
-    """(key, context, shorter, n) of texts or stretches: symbols behind contexts of ``length`` words, and with null ``shorter`` the
-    contexts themselves, whose ends are marked in ``extended`` and ``listed`` (None: all)."""
-    shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, listed))
-    schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("shorter", pa.int64()), ("n", pa.int64())])
+def sequences(w: np.ndarray, first: np.ndarray, length: int, words, pairs, extended, listed):
+    """(sequences of ``length`` words and a symbol, their contexts, the same without the first word, contexts alone).
+
+    Beyond one word only symbols that the shorter context lists count, and contexts whose ends are marked in ``extended``."""
+    none = np.zeros(0, np.uint64)
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, level in enumerate(runs(w, words, pairs, first), 1):
+        levels = [*levels, level][-3:]
+        if k == length + 1:
+            break
+    else:
+        k = len(levels) and k
+    if k < length:
+        return none, none, none, none
+    if k == length:
+        levels.append((np.zeros(0, np.int64), none))
+    (ends, own), (gram_ends, grams) = levels[-2:]
+    at = np.zeros(len(w), np.uint64)
+    at[ends] = own
+    if length == 1:
+        return grams, at[gram_ends - 1], at[gram_ends], none
+    last = np.zeros(len(w), np.uint64)
+    last[levels[-3][0]] = levels[-3][1]
+    short = at[gram_ends]
+    ok = marked(listed, short)
+    return grams[ok], at[gram_ends[ok] - 1], short[ok], own[marked(extended, last[ends])]
+
+
+def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, words_there: int) -> DataFrame:
+    """(key, n) of the sequences, and of contexts alone, that occur at least ``least`` times in texts or stretches.
+
+    Keys are counted block by block, and a block's counts go to the reducers as a few sorted arrays, one for each range of
+    keys: what is shuffled is eight bytes a key, and no row is made of a key that is not frequent."""
+    shared = train.sparkSession.sparkContext.broadcast(marks)
     whole = train.columns == ["text"]
+    ranges = 1 << max(3, int(words_there / KEYS_PER_TASK).bit_length())
+    bits = np.uint64(65 - ranges.bit_length())
+    out = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def run(batches):
-        words, pairs, extended, listed = shared.value
-        hashes = Hashes()
-        held: list[list[np.ndarray]] = [[], [], [], []]
+    def count(batches):
+        held: list[np.ndarray] = []
         size = 0
 
         def made():
-            none = np.zeros(0, np.uint64)
-            grams, contexts, shorter, alone = (np.concatenate(x) if x else none for x in held)
-            for x in held:
-                x.clear()
-            g, at, n = np.unique(grams, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(contexts[at].view(np.int64)), pa.array(shorter[at].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema
-            )
-            c, n = np.unique(alone, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64()), pa.array(n.astype(np.int64))], schema=schema)
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(keys >> bits, np.arange(ranges + 1, dtype=np.uint64))
+            some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+            part = lambda x, i: x[cuts[i] : cuts[i + 1]].tobytes()
+            n = n.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part(keys, i) for i in some], pa.binary()), pa.array([part(n, i) for i in some], pa.binary())], schema=out)
+
+        for w, first in blocks_of_words(batches, whole):
+            grams, _, _, alone = sequences(w, first, length, *shared.value)
+            held += [grams, alone]
+            size += len(grams) + len(alone)
+            if size > FLUSH:
+                yield made()
+                held, size = [], 0
+        if size:
+            yield made()
 
+    def merge(batches):
+        keys, counts = [], []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = hashes.of(tokens(text)) if whole else np.array(text, np.int64).view(np.uint64)
-                levels = []
-                for k, level in enumerate(runs(w, words, pairs), 1):
-                    levels = [*levels, level][-3:]
-                    if k == length + 1:
-                        break
-                else:
-                    k = len(levels) and k
-                if k < length:
-                    continue
-                if k == length:
-                    levels.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
-                (ends, own), (gram_ends, grams) = levels[-2:]
-                at = np.zeros(len(w), np.uint64)
-                at[ends] = own
-                context, short = at[gram_ends - 1], at[gram_ends]
-                if length == 1:
-                    held[0].append(grams), held[1].append(context), held[2].append(short)
-                else:
-                    ok = marked(listed, short)
-                    held[0].append(grams[ok]), held[1].append(context[ok]), held[2].append(short[ok])
-                    last = np.zeros(len(w), np.uint64)
-                    last[levels[-3][0]] = levels[-3][1]
-                    alone = own[marked(extended, last[ends])]  # an end of text is in no context
-                    held[3].append(alone)
-                    size += len(alone)
-                size += len(held[0][-1])
-            if size > FLUSH:
-                yield from made()
-                size = 0
-        yield from made()
+            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            counts += [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+        if keys:
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            keys.clear(), counts.clear()
+            order = np.argsort(key)
+            key, n = key[order], n[order].astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.add.reduceat(n, starts)
+            kept = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[starts][kept].view(np.int64)), pa.array(n[kept])], names=["key", "n"])
+
+    blobs = train.mapInArrow(count, "range int, keys binary, counts binary")
+    return blobs.repartition(ranges, "range").mapInArrow(merge, "key long, n long")
+
+
+def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray) -> DataFrame:
+    """(key, context, shorter) of the sequences marked in ``frequent``."""
+    shared = train.sparkSession.sparkContext.broadcast((marks, frequent))
+    whole = train.columns == ["text"]
+    names = ["key", "context", "shorter"]
 
-    counted = train.mapInArrow(run, "key long, context long, shorter long, n long")
-    return counted.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("n"))
+    def run(batches):
+        marks, frequent = shared.value
+        seen = np.zeros(0, np.uint64)
+        for w, first in blocks_of_words(batches, whole):
+            grams, context, short, _ = sequences(w, first, length, *marks)
+            ok = marked(frequent, grams)
+            keys, at = np.unique(grams[ok], return_index=True)
+            new = ~np.isin(keys, seen, assume_unique=True)
+            keys, at = keys[new], at[new]
+            seen = np.union1d(seen, keys) if len(seen) < FLUSH else keys
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, context[ok][at], short[ok][at])], names=names)
+
+    found = train.mapInArrow(run, "key long, context long, shorter long")
+    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"))
 
 
 def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total: int, z: float, pull: float):
@@ -301,14 +376,16 @@ def grow(
         hashed(vocabulary.filter(F.col("n") >= min(few, rare))).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     )
     words, pairs, extended, symbols = bitmap(listed), None, None, None
-    values, length, part = [], 0, train
+    values, length, part, there = [], 0, train, total
     while True:
         length += 1
-        counted = stored(count_sequences(part, length, words, pairs, extended, symbols).filter(F.col("n") >= least))
-        whole = listed.select("key", "n") if length == 1 else counted.filter("shorter is null").select("key", "n")
+        marks = (words, pairs, extended, symbols)
+        counted = stored(count_sequences(part, length, marks, least, there))
+        named = resolve(part, length, marks, bitmap(counted))
+        whole = listed.select("key", "n") if length == 1 else counted
         below = listed.filter(F.col("n") >= rare) if length == 1 else listed
         met = (
-            counted.filter("shorter is not null").join(below.select(F.col("key").alias("shorter"), F.col("p").alias("q")), "shorter")
+            counted.join(named, "key").join(below.select(F.col("key").alias("shorter"), F.col("p").alias("q")), "shorter")
             .join(whole.filter(F.col("n") >= few).select(F.col("key").alias("context"), F.col("n").alias("whole")), "context")
         )
         expected = F.col("whole") * F.col("q")
@@ -336,6 +413,7 @@ def grow(
             break
         if length == 2:
             part = stored(stretches(train, length, words, pairs, extended, symbols))
+            there = part.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
     if not values:
         return None, 0, words, pairs
     table = values[0]
@@ -461,7 +539,6 @@ def score(
             lookup = lookup.unionByName(others.select("key", F.lit(None).cast("long").alias("c"), "value"))
     shared = spark.sparkContext.broadcast((head, model))
     names = ["row", "_id", "held_out", "key", "n", "kind", "tokens", "known", "base", "ratio"]
-    types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     id_type = docs.schema["_id"].dataType
 
     def run(batches):
@@ -469,31 +546,39 @@ def score(
         logs = own.log_root(own.counts)
         hashes = Hashes()
         for batch in batches:
-            rows = {k: [] for k in names}
-
-            def add(*values):
-                for k, v in zip(names, values):
-                    rows[k].append(v)
+            heads: list[tuple] = []
+            asked_of, asked_kind, asked_keys, asked_n = [], [], [], []
 
             def ask(row, kind, keys):
                 keys, n = np.unique(keys, return_counts=True)
-                m = len(keys)
-                for k, v in zip(names, ([row] * m, [None] * m, [None] * m, keys.view(np.int64).tolist(), n.tolist(), [kind] * m, [0] * m, [0] * m, [0.0] * m, [0.0] * m)):
-                    rows[k].extend(v)
+                asked_of.append(np.full(len(keys), row)), asked_kind.append(np.full(len(keys), kind, np.int32))
+                asked_keys.append(keys.view(np.int64)), asked_n.append(n)
 
-            for row, doc_id, held, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            rows = batch.column(0).to_pylist()
+            for row, text in zip(rows, batch.column(3).to_pylist()):
                 words = tokens(text)
                 codes = own.codes(words)
                 w = hashes.of(words)
                 there = codes >= 0
                 ratio, asked = model.of(w)
-                add(row, doc_id, held, row, 0, 0, len(codes), int(there.sum()), float(logs[codes[there]].sum()), ratio)
+                heads.append((len(codes), int(there.sum()), float(logs[codes[there]].sum()), ratio))
                 if not there.all():
                     ask(row, 1, w[~there] ^ np.uint64(SALT))
                 for keys in asked:
                     if len(keys):
                         ask(row, 2, keys)
-            arrays = [pa.array(rows[k], type=t or batch.column(1).type) for k, t in zip(names, types)]
+            if not rows:
+                continue
+            n_heads, m = len(rows), sum(map(len, asked_of))
+            joined = lambda head, rest: np.concatenate([np.asarray(head), *rest])
+            behind = lambda head: np.concatenate([np.asarray(head), np.zeros(m, np.asarray(head).dtype)])
+            lengths, known, base, ratio = zip(*heads)
+            arrays = [
+                pa.array(joined(rows, asked_of), pa.int64()), pa.concat_arrays([batch.column(1), pa.nulls(m, batch.column(1).type)]),
+                pa.concat_arrays([batch.column(2), pa.nulls(m, pa.bool_())]), pa.array(joined(rows, asked_keys), pa.int64()), pa.array(joined(np.zeros(n_heads, np.int64), asked_n), pa.int64()),
+                pa.array(joined(np.zeros(n_heads, np.int32), asked_kind), pa.int32()), pa.array(behind(lengths), pa.int64()), pa.array(behind(known), pa.int64()),
+                pa.array(behind(base), pa.float64()), pa.array(behind(ratio), pa.float64()),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     ddl = f"row long, _id {id_type.simpleString()}, held_out boolean, key long, n long, kind int, tokens long, known long, base double, ratio double"
