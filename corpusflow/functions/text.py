@@ -44,6 +44,16 @@ STRUCTURE = r"[=<>\\^_(){}\[\]]"
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "with")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, evaluating ``value`` once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first_spellings(phrases: Column) -> Column:
+    """Strings of an array that no earlier one equals but for case."""
+    return let(phrases, lambda k: let(F.transform(k, F.lower), lambda low: F.filter(k, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)))
+
+
 def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -213,7 +223,7 @@ def normalized_keyword(c: Column) -> Column:
 def sanitized_keywords(c: Column, most: int = 10) -> Column:
     """Normalised keywords, the first spelling of each, at most ``most``."""
     kept = F.filter(F.transform(c, normalized_keyword), lambda k: k.isNotNull())
-    return F.slice(F.filter(kept, lambda k, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda q: F.lower(q) == F.lower(k))), 1, most)
+    return F.slice(first_spellings(kept), 1, most)
 
 
 def strip_latex(c: Column) -> Column:

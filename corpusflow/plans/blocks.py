@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, formula_quality, section_key, token_count
-from ..operators import context, layout, rules
+from ..operators import context, layout
 from ..sources.adapters import blocks_from_documents
 from .tables import table
 
@@ -46,19 +46,6 @@ def table_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return layout.drop_table_fragments(blocks(spark, d), geometry_only=True).select("block_id", "type")
 
 
-def column_islands(spark: SparkSession, d: str) -> DataFrame:
-    return layout.column_clusters(blocks(spark, d)).select("block_id")
-
-
-def noise_filter(spark: SparkSession, d: str) -> DataFrame:
-    text = F.col("text")
-    return blocks(spark, d).select(
-        "block_id", rules.is_obvious_noise(text).alias("noise"), rules.is_caption(text).alias("caption"), rules.is_noisy(text).alias("noisy"),
-        rules.is_table_summary(text).alias("summary"), rules.is_numeric_sentence(text).alias("numeric"), rules.is_table_fragment(text).alias("cell"),
-        rules.is_figure_fragment(text).alias("label"),
-    )
-
-
 def formula_qualities(spark: SparkSession, d: str) -> DataFrame:
     made = blocks(spark, d).filter("type = 'formula'")
     return made.select("block_id", formula_quality(F.col("text")).alias("quality"))
@@ -72,8 +59,6 @@ QUERIES = {
     "reading_order_renumber": reading_order,
     "bbox_figure_antijoin": figure_antijoin,
     "bbox_table_antijoin": table_antijoin,
-    "column_islands": column_islands,
-    "noise_filter": noise_filter,
     "formula_quality": formula_qualities,
 }
 
@@ -127,15 +112,6 @@ SELECT block_id, type FROM block WHERE block_id NOT IN (SELECT block_id FROM hit
     "bbox_table_antijoin": f"""WITH {BLOCKS}, {PAIR.format(kind="table")},
 hit AS (SELECT DISTINCT block_id FROM pair WHERE type = 'text' AND ({INSIDE} OR cw * ch / area >= 0.35))
 SELECT block_id, type FROM block WHERE NOT (block_id IN (SELECT block_id FROM hit) AND trim(text) <> '')""",
-    "column_islands": f"""WITH {BLOCKS}, {PAIR.format(kind="figure")},
-near AS (SELECT p.*, (p.l + p.r) / 2 AS x FROM pair p JOIN block q USING (block_id) WHERE p.type = 'text' AND q.words >= 12 AND figure_area / (612 * 792) >= 0.12
-  AND (NOT (p.r < fl - 56 OR p.l > fr + 56 OR p.b < ft - 28 OR p.t > fb + 28) OR (p.t + p.b) / 2 BETWEEN ft - 18 AND fb + 18)
-  AND (ch / least(p.b - p.t, fb - ft) >= 0.55 OR ((p.t + p.b) / 2 BETWEEN ft - 18 AND fb + 18 AND cw / least(p.r - p.l, fr - fl) >= 0.2))),
-s AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY figure_id ORDER BY x, block_id) > 90 THEN 1 ELSE 0 END AS step, count(*) OVER (PARTITION BY figure_id) AS n FROM near),
-g AS (SELECT *, sum(step) OVER (PARTITION BY figure_id ORDER BY x, block_id) AS island FROM s),
-z AS (SELECT *, count(*) OVER (PARTITION BY figure_id, island) AS size FROM g),
-k AS (SELECT figure_id, count(DISTINCT island) AS strong FROM z WHERE n >= 4 AND size >= 2 GROUP BY figure_id)
-SELECT DISTINCT block_id FROM z JOIN k USING (figure_id) WHERE n >= 4 AND size >= 2 AND strong <= 2""",
     "formula_quality": rf"""WITH {BLOCKS}, f AS (SELECT block_id, trim(text) AS s FROM block WHERE type = 'formula'),
 c AS (SELECT *, abs(length(s) - length(replace(s, '{{', '')) - length(s) + length(replace(s, '}}', ''))) AS bd,
              abs(length(s) - length(replace(s, '(', '')) - length(s) + length(replace(s, ')', ''))) AS pd FROM f)

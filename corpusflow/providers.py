@@ -39,8 +39,9 @@ def hash_embedder(dimensions: int = DIMENSIONS) -> Embedder:
         for word in text.lower().split():
             h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             out[(h >> 1) % dimensions] += 1.0 if h & 1 else -1.0
-        length = np.sqrt(out @ out)
-        return (out / length if length > 0 else out).tolist()
+        if not out.any():
+            out[0] = 1.0
+        return (out / np.sqrt(out @ out)).tolist()
 
     return lambda texts: [one(t) for t in texts]
 
