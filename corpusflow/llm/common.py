@@ -7,12 +7,11 @@ Conventions
   any name are harmless.  Repeated rows are separate documents unless an
   operator says otherwise.
 * ``null`` text is the empty text; a ``null`` id is kept as it is.
+* Tables that a lazy result still reads stay in the shared folder; what is read no more is deleted.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import discard, shared_folder, stored  # noqa: F401
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,43 +67,6 @@ def map_rows(
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, out)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Where ``spark.checkpoint.dir`` is unset, a local session names a temporary folder of this
-    machine once; on a cluster, whose executors could not read that, it is an error.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusflow-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage,
-    and what is read survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cf-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._corpusflow_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "_corpusflow_path", None)
-        if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fields(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)
 

@@ -13,7 +13,7 @@ language reach the driver, and the filter that is broadcast has a fixed number o
 Predictions read the text only.  Null text, or text without a letter, is ``und`` with score
 0; so is every text if nothing could be learned.  The score is the corrected share of the
 n-grams that the predicted language contains.  Ties go to the language met more often in
-training.  Repeated rows get the same prediction each.
+training.  Repeated rows get the same prediction each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,10 +93,12 @@ def learn(
     per_lang: int = 2000,
     least_share: float = 2e-5,
     bits: int = 20,
+    most_langs: int = 1024,
 ) -> BitmaskFilter:
-    """Filter from a sample of the rows of ``df`` for which ``train`` holds."""
+    """Filter from a sample of the rows of ``df`` for which ``train`` holds; of more than ``most_langs`` values of the
+    language column (a dirty one) the most frequent are learned."""
     rows = df.filter(train).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not sizes:
         return BitmaskFilter([], np.zeros((1, 1), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])[F.col("lang")]
@@ -154,7 +156,7 @@ def held_out_bound(df: DataFrame, held: Column, model: BitmaskFilter, text_col:
     """Six tenths of the least 1 % quantile, over the learned languages, of the scores of held-out texts told right, as far
     as there are any; else LEAST_SCORE.  Texts of 400 characters or more count; at most about ``per_lang`` of each language."""
     rows = df.filter(held & (F.length(text_col) >= 400)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.filter(F.col("lang").isin(*model.langs)).groupBy("lang").count().collect()} if model.langs else {}
     if not sizes:
         return LEAST_SCORE
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])[F.col("lang")]

@@ -12,7 +12,8 @@ row).  The fit is on the driver, from at most ``max_rows`` trusted and ``max_row
 unlabelled rows chosen by a hash, of FIGURES numbers each.  Scores read the text only.
 
 Edge cases: null text is scored as empty; without a trusted row every score is 0.5; labels
-of other documents, null labels and repeated labels change nothing.
+of other documents, null labels and repeated labels change nothing; repeated rows get the same
+score each; an empty table gives no rows.
 """
 
 from __future__ import annotations

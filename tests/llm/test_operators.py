@@ -154,6 +154,44 @@ def test_unlearned_language_of_the_same_script_is_dropped(spark):
     assert {r.doc_id for r in langid.drop_unknown(df, model, least_score=0.1).collect()} > kept
 
 
+def test_ties_go_to_the_language_met_more_often(spark):
+    same = np.unique(langid.grams("one and the same"))
+    made = langid.BitmaskFilter.build(["often", "seldom"], [same, same], bits=14)
+    assert made.predict("one and the same")[0] == "often"
+    df = table(spark, [f"text number {i} of it" for i in range(9)], lang=["a", "a", "a", "b", "b", "c", "d", "e", "f"])
+    assert langid.learn(df, F.lit(True), most_langs=2).langs == ["a", "b"]
+
+
+def test_empty_tables(spark):
+    none, labels = table(spark, []).withColumn("lang", F.lit("xx")), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality_pu.score_quality(none, labels).count() == 0 and langid.identify(none).count() == 0
+    assert pii.pseudonymise(none, "key").count() == 0 and secret_scan.scan_secrets(none).count() == 0
+
+
+def test_nearly_equal_documents_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "other", *words[31:]]
+    rows = [(None, " ".join(words)), (None, " ".join(near)), (None, "something else that stands alone here"), (7, " ".join(near)), (8, "a text of its own that nobody has")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.find_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 7, False), (None, 7, False), (None, None, True), (7, 7, True), (8, 8, True)], key=repr)
+    assert sorted(r.text for r in neardup.keep_one(df).collect()) == sorted(t for i, t in rows if i or t.startswith("something"))
+
+
+def test_crowded_entries_lose_no_link(spark):
+    """Copies of one text too far from it and from most others: pairs of crowded entries come from scarce shingles."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(45):
+        far = [f"e{rng.randrange(9000)}" if rng.random() < 0.05 else w for w in base]
+        texts.append(" ".join(far))
+        if rng.random() < 0.3:
+            texts.append(" ".join(f"f{rng.randrange(9000)}" if rng.random() < 0.02 else w for w in far))
+    got = by_id(neardup.find_near_duplicates(table(spark, texts), crowded=4, scarce=3), "n_shingles", "component_id")
+    assert got == components(texts) and len({c for _, c in got.values()}) > 3
+
+
 def test_bitmask_filter_is_never_wrong_on_members():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 1 << 32, 500, dtype=np.uint32) for _ in range(11)]
@@ -468,6 +506,7 @@ def test_mixing(spark):
     low = sum(r.rate * r.n_tokens * r.posterior[1] for r in rows) / total
     plain = sum(r.rate * r.n_tokens * r.posterior[0] for r in rows) / total
     assert low == pytest.approx(0.1, abs=0.01) and plain == pytest.approx(0.9, abs=0.01)
+    assert {r.residual for r in mixing.mix(table(spark, texts), labels, F.col("domain"), targets).collect()} == {pytest.approx(0, abs=0.01)}
     none = mixing.mix(table(spark, EDGES), labels.limit(0), F.col("domain"), targets)
     assert {r.rate for r in none.collect()} == {1.0}
     assert mixing.mix(table(spark, []), labels, F.col("domain"), targets).count() == 0
