@@ -232,8 +232,10 @@ STATS = {
 
 
 def cleaned_formula(x: str) -> str:
-    """No text here has letters set apart, so that step is left out."""
+    """Runs of three letters or more set apart are put between marks first, and lose their blanks there."""
     out = collapsed(without(x, T.PLAY, T.NBSP))
+    marks = f"regexp_replace({out}, {quoted('(^|[^A-Za-z' + chr(92) * 2 + '])((?:[A-Za-z] ){2,}[A-Za-z])($|[^A-Za-z])')}, '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    out = f"array_to_string(list_transform(string_split({marks}, chr(1)), lambda p, i: CASE WHEN i = 1 THEN p ELSE replace(split_part(p, chr(2), 1), ' ', '') || split_part(p, chr(2), 2) END), '')"
     for pattern, by in ((r" +([,.;:)\]}])", "$1"), (r"([(\[{]) +", "$1"), (" *_ *", "_"), (r" *\^ *", "^"), (r" *\\ +([A-Za-z]+)", " \\\\$1"), (r"([(\[{]) +", "$1"), (r" +([)\]}])", "$1")):
         out = replaced(out, pattern, by)
     return collapsed(out)
