@@ -119,7 +119,7 @@ LONGS = N_HASHES // 21
 SCHEMA = "n_shingles long, digest binary, halves array<long>, sketch array<long>"
 
 
-def describe(df: DataFrame, size: int) -> DataFrame:
+def describe(df: DataFrame, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """_id with n_shingles, digest, halves and sketch; the last two are empty for sets of one shingle,
     which are only ever similar to equal ones, and all are null for empty sets."""
 
@@ -142,7 +142,7 @@ def describe(df: DataFrame, size: int) -> DataFrame:
 
         return kernel
 
-    return map_rows(df, start, schema, ["_text"], ["_id"])
+    return map_rows(df, start, schema, ["_text"], ["_id", *keep])
 
 
 def digests(df: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -254,16 +254,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def find_near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75, crowded: int = 32, scarce: int = 8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75, crowded: int = 32, scarce: int = 8,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """For every row: id, n_shingles, component_id and kept.  ``percent`` is 75 or more (lower ones need more tables).
+    """For every row: id, n_shingles, component_id, kept and the columns ``keep``.  ``percent`` is 75 or more (lower ones need more tables).
 
     Entries of more than ``crowded`` classes are paired by shingles that at most ``scarce`` of their classes have; no pair
     depends on either number."""
     if percent < 75:
         raise ValueError("the tables are laid out for a similarity of 0.75 or more")
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = stored(describe(docs, size))
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    rows = stored(describe(docs, size, keep))
+    docs = docs.select("_id", "_text")
     classes = rows.filter("digest is not null").groupBy("digest").agg(
         F.min("_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")
     )
@@ -310,10 +312,10 @@ def find_near_duplicates(
     able = stored(able.join(common, "digest", "left").select("digest", "size", "sketch", "a", "b", "met", F.coalesce("common", F.lit(0)).alias("common")))
 
     def side(df: DataFrame, k: str, on: str) -> DataFrame:
-        return df.select(on, *[F.col(c).alias(c + k) for c in ("digest", "component", "sketch", "size", "met", "common", "a", "b")])
+        return df.select(on, *[F.col(c).alias(c + k) for c in ("digest", "component", "members", "sketch", "size", "met", "common", "a", "b")])
 
     def paired(df: DataFrame, on: str, condition: Column) -> DataFrame:
-        """Pairs of rows of ``df`` (digest, component) with equal ``on`` that may be links of two components."""
+        """Pairs of rows of ``df`` (digest, component, members) with equal ``on`` that may be links of two components."""
         both = df.join(able, "digest")
         # What two sets have in common is at most what each has in common with any other.
         apart = (F.col("componentx") != F.col("componenty")) & (F.col("digestx") < F.col("digesty"))
@@ -322,13 +324,13 @@ def find_near_duplicates(
 
     # A pair comes from one table only, that of its least common halves.
     home = F.col("key") == F.xxhash64(F.array_min(F.array_intersect("ax", "ay")), F.array_min(F.array_intersect("bx", "by")))
-    near = paired(still.filter(F.col("members") <= crowded), "key", home)
     # In a crowded entry two sets share a scarce shingle, or frequent ones alone must be enough.
-    where = still.select("digest", "component").distinct()
-    beyond = still.filter(F.col("members") > crowded)
-    reach = able.select("digest", (F.col("common") * F.lit((100 + percent) / percent) - F.col("size")).alias("largest"), "size")
-    frequent = beyond.join(reach, "digest").filter(F.col("largest") >= F.col("size") * F.lit(percent / 100)).select("digest", "component", "key")
-    met_again = near.unionByName(paired(frequent, "key", home & enough("common", percent))).unionByName(paired(rare.join(where, "digest"), "s", F.lit(True)))
+    sparse = F.col("members") <= crowded
+    largest = F.col("common") * F.lit((100 + percent) / percent) - F.col("size")  # the largest set that frequent shingles can be enough for
+    open_rows = still.join(able.select("digest", "size", "common"), "digest").filter(sparse | (largest >= F.col("size") * F.lit(percent / 100)))
+    by_key = paired(open_rows.select("digest", "component", "key", "members"), "key", home & ((F.col("membersx") <= crowded) | enough("common", percent)))
+    by_shingle = paired(rare.join(still.select("digest", "component", "members").dropDuplicates(["digest"]), "digest"), "s", F.lit(True))
+    met_again = by_key.unionByName(by_shingle)
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = met_again.distinct().join(tried, ["x", "y"], "left_anti")
     links_again = stored(verified(rest, texts, size, percent))
@@ -340,10 +342,10 @@ def find_near_duplicates(
     linked = members.join(named, "component").select("digest", "named")
     every = classes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("named", "first_id").alias("component_id"))
     return (
-        rows.select("_id", "n_shingles", "digest")
+        rows.select("_id", "n_shingles", "digest", *keep)
         .join(every, "digest", "left")
-        .select("_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
-        .select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("_id", "n_shingles", *keep, F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+        .select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), *keep)
     )
 
 
@@ -351,8 +353,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Rows of ``df``, all columns, whose id is the smallest of its group.
 
     Decided by id and text, so of an id with several texts only those go that another document repeats."""
-    own = F.col(f"_row.`{id_col}`")
-    whole = packed(df).withColumn("_mark", F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64(F.col(f"_row.`{text_col}`")).alias("text")))
-    docs = whole.select(F.col("_mark").alias("_id"), F.col(f"_row.`{text_col}`").alias("_text"))
-    gone = find_near_duplicates(docs, "_id", "_text").filter("not kept").select(F.col("_id").alias("_gone")).distinct()
-    return whole.join(gone, F.col("_mark") == F.col("_gone"), "left_anti").select("_row.*")
+    own, text = F.col(f"_row.`{id_col}`"), F.col(f"_row.`{text_col}`")
+    whole = packed(df).withColumn("_mark", F.xxhash64(text))
+    found = find_near_duplicates(whole.select(own.alias("_key"), text.alias("_text"), "_mark"), "_key", "_text", keep=("_mark",))
+    gone = found.filter("not kept").select("_key", F.col("_mark").alias("_gone")).distinct()
+    return whole.join(gone, own.eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_gone")), "left_anti").select("_row.*")
