@@ -4,7 +4,7 @@ Tokens are words (maximal runs without ASCII white space, A-Z lower-cased) and o
 each text.  The root of the tree is the smoothed unigram distribution
 (c + 0.1) / (N + 0.1 * (V + 1)), counted over every token of all training documents.
 
-Tree (contexts of any number of words):
+Tree (contexts of up to ``depth`` words, a parameter; what they hold grows with the corpus):
 
 * A context is a candidate for a symbol if the two were met together at least ``least`` times.
 * Divergence test: its next symbols are those whose count differs from what the context
@@ -15,10 +15,11 @@ Tree (contexts of any number of words):
   suffix's probability times the factor that makes the sum 1.
 * A token is scored in the state of the longest kept context that ends in front of it.
 
-Contexts grow by one word in front as long as one can be kept.  Where the counts and probabilities
+Contexts grow by one word in front as long as one can be kept, and no longer than ``depth``: each word
+more is a round of jobs, and long passages that thousands of near copies share would go on for hundreds.  Where the counts and probabilities
 behind ``s`` show that no longer context that ends in ``s`` passes the test (``extendable``), it
 isn't extended.  Until a longer context is kept the state stays, so this holds for all lengths
-and no context that would be kept is missed.
+and no context of up to ``depth`` words that would be kept is missed.
 
 The log of a probability over the root's is a sum over the sequences of words that end with the
 token or in front of it: each kept context adds its factor, each symbol listed there what it gets
@@ -48,6 +49,7 @@ from pyspark.sql import functions as F
 from .common import fold, stored
 
 BITS = 26  # of the largest bitmap
+DEPTH = 6
 FLUSH = 1_500_000
 BLOCK = 250_000  # words that are handled at once
 KEYS_PER_TASK = 1_500_000
@@ -367,7 +369,7 @@ def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total
 
 def grow(
     train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, least_context: float = 0.0, least_symbol: float = 0.0,
-    z: float = 6.0, pull: float = 20.0, least: int = 10,
+    z: float = 6.0, pull: float = 20.0, least: int = 10, depth: int = DEPTH,
 ) -> tuple[DataFrame | None, int, np.ndarray | None, np.ndarray | None]:
     """Table (key, value, n) of the tree, most words of a sequence in it, bitmaps of its words and pairs."""
     cost = float(np.log(max(total, 2)))
@@ -404,9 +406,12 @@ def grow(
         listed = stored(listed.withColumn("p", F.coalesce("own", F.col("q") * F.coalesce("factor", F.lit(1.0)))).select("key", "context", "n", "whole", "q", "p", "own", "factor"))
         values.append(tested.select(F.col("context").alias("key"), F.log10("factor").alias("value"), F.col("all").alias("n")))
         values.append(listed.filter("own is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.log10("factor")).alias("value"), "n"))
-        worth = stored(extendable(listed, z, pull, least, cost))
         if length == 1:
             pairs = bitmap(listed)
+        if length >= depth:
+            length += 1
+            break
+        worth = stored(extendable(listed, z, pull, least, cost))
         extended, symbols = bitmap(worth.select(F.col("context").alias("key"))), bitmap(listed.join(worth, "context", "left_semi"))
         if not symbols.any():
             length += 1
@@ -513,10 +518,11 @@ def score(
     least_context: float = 0.0,
     least_symbol: float = 0.0,
     head_values: int = 1_000_000,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score (root only) and score of every row; ``held_out`` defaults
     to the ids whose crc32 modulo 10 is 0, ``train`` to the others.  Contexts and symbols below a share of
-    ``least_context`` or ``least_symbol`` are left out; by default none is."""
+    ``least_context`` or ``least_symbol`` are left out; by default none is.  Contexts have at most ``depth`` words."""
     spark = df.sparkSession
     held_out = fold(F.col(id_col), 10) == 0 if held_out is None else held_out
     train = ~held_out if train is None else train
@@ -526,7 +532,7 @@ def score(
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = frequent(vocabulary, head_words)
     head = Head(top.word.tolist(), top.n.to_numpy(np.float64), int(total), int(distinct))
-    tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol)
+    tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol, depth=depth)
     lookup = hashed(vocabulary).select(F.col("key").bitwiseXOR(F.lit(SALT)).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
     model = Values(np.zeros(0, np.uint64), np.zeros(0), None, 0, None, None)
     if tree is not None:

@@ -422,8 +422,8 @@ def test_lm_tree_has_no_fixed_size(spark, head_values):
     total = sum(count.values())
     root = {x: (count[x] + 0.1) / (total + 0.1 * (len(count) + 1)) for w in words for x in w}
     own, ratio = plain_tree(train, root, total)
-    assert max(map(len, own)) > 2
-    got = by_id(lm_pst.score(table(spark, texts), head_words=20, head_values=head_values), "base_score", "score")
+    assert 2 < max(map(len, own)) <= lm_pst.DEPTH
+    got = by_id(lm_pst.score(table(spark, texts), head_words=20, head_values=head_values, depth=40), "base_score", "score")
     for i, w in enumerate(words):
         if i != EDGES.index(LONG) + 200:
             assert got[i][1] - got[i][0] == pytest.approx(ratio(w), abs=1e-6)
