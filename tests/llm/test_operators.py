@@ -506,7 +506,7 @@ def test_mixing(spark):
     low = sum(r.rate * r.n_tokens * r.posterior[1] for r in rows) / total
     plain = sum(r.rate * r.n_tokens * r.posterior[0] for r in rows) / total
     assert low == pytest.approx(0.1, abs=0.01) and plain == pytest.approx(0.9, abs=0.01)
-    assert {r.residual for r in mixing.mix(table(spark, texts), labels, F.col("domain"), targets).collect()} == {pytest.approx(0, abs=0.01)}
+    assert max(r.residual for r in mixing.mix(table(spark, texts), labels, F.col("domain"), targets).collect()) <= 0.01
     none = mixing.mix(table(spark, EDGES), labels.limit(0), F.col("domain"), targets)
     assert {r.rate for r in none.collect()} == {1.0}
     assert mixing.mix(table(spark, []), labels, F.col("domain"), targets).count() == 0
