@@ -77,7 +77,7 @@ ORACLE_SQL = {
 g AS (SELECT *, length(e) >= 32 AND NOT {matched('lower(e)', enrich.GENERIC_STARTS)} AND NOT (contains(lower(e), 'head') AND {counted('e', '[^ ]+')} <= 10) AS usable FROM f)
 SELECT block_id, usable, CASE WHEN text = '' THEN 'broken' WHEN ({quality_sql('s')}) = 'truncated' AND NOT usable THEN 'broken'
   WHEN {errors('latex')} OR {doubtful('latex')} THEN CASE WHEN usable THEN 'poor' ELSE 'broken' END WHEN page_no % 3 = 0 THEN 'poor' ELSE 'good' END AS quality FROM g""",
-    "keyword_extract": f"""WITH {SLIDES}, k AS (SELECT block_id, list_filter({PHRASES}, lambda p: NOT ({BANNED}) AND {TELLING} >= CASE WHEN len(regexp_extract_all(lower(p), '[a-z][a-z0-9_\-]*')) >= 2 THEN 2 ELSE 1 END) AS p FROM block)
+    "keyword_extract": f"""WITH {SLIDES}, k AS (SELECT block_id, list_filter({PHRASES}, lambda p: NOT ({BANNED}) AND {TELLING} >= CASE WHEN len(regexp_extract_all(lower(p), '[a-z][a-z0-9_\\-]*')) >= 2 THEN 2 ELSE 1 END) AS p FROM block)
 SELECT block_id, array_to_string(list_filter(p, lambda w, i: list_position(list_transform(p, lambda v: lower(v)), lower(w)) = i)[1:10], '|') AS keywords FROM k""",
     "latex_choice": rf"""WITH {SLIDES}, f AS (SELECT block_id, CASE WHEN reading_order > 3 THEN '{{{{' || text END AS a, CASE WHEN page_no > 1 THEN '\zeta ' || text END AS b, text AS c FROM block),
 g AS (SELECT *, {errors('c')} OR {doubtful('c')} AS bad FROM f)
