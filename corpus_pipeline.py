@@ -46,7 +46,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = mixing.mix(docs, read_table(spark, sf_dir, "labels"), mixing.label_domain(), mixing.TARGETS)
+    made = mixing.mix(docs, read_table(spark, sf_dir, "labels"), mixing.label_domain(), mixing.TARGETS, max_labelled=None)
     return made.select("_row.*", *[F.col(c).alias(unused(f"mix_{c}", docs.columns)) for c in ("n_tokens", "domain", "rate")])
 
 

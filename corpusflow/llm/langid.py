@@ -5,8 +5,7 @@ language is asked for every byte n-gram of a text; the AND of an n-gram's slots
 languages that contain it.  Popcounts per language, corrected for the filter's false
 positives, decide.
 
-Training: a bounded sample of labelled texts (``per_lang`` of each language, chosen by a
-hash of the text) is counted on the executors; an n-gram belongs to a language if it makes
+Training: all labelled texts are counted on the executors; an n-gram belongs to a language if it makes
 up at least ``least_share`` of its n-grams.  So at most 1 / least_share n-grams of a
 language reach the driver, and the filter that is broadcast has a fixed number of slots.
 
@@ -22,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fields, fold, map_rows
@@ -31,6 +30,8 @@ GRAM = 4
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 UNDETERMINED = "und"
 LEAST_SCORE = 0.5
+FLUSH = 4_000_000  # n-grams that a task holds
+STEPS = 10_000  # of a score, for its quantiles
 
 
 def grams(text: str, n: int = GRAM) -> np.ndarray:
@@ -90,32 +91,38 @@ def learn(
     train: Column,
     text_col: str = "text",
     lang_col: str = "lang",
-    per_lang: int = 2000,
     least_share: float = 2e-5,
     bits: int = 20,
     most_langs: int = 1024,
 ) -> BitmaskFilter:
-    """Filter from a sample of the rows of ``df`` for which ``train`` holds; of more than ``most_langs`` values of the
+    """Filter from the rows of ``df`` for which ``train`` holds; of more than ``most_langs`` values of the
     language column (a dirty one) the most frequent are learned."""
     rows = df.filter(train).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not sizes:
         return BitmaskFilter([], np.zeros((1, 1), np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])[F.col("lang")]
-    draw = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    sample = rows.filter(draw < share)
+    rows = rows.filter(F.col("lang").isin(*sizes))
     out = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
-        for batch in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(grams(text))
+        by: dict[str, list] = {}
+        size = 0
+
+        def made():
             for lang, parts in by.items():
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], schema=out)
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(lang, []).append(grams(text))
+                size += len(by[lang][-1])
+                if size >= FLUSH:
+                    yield from made()
+                    by, size = {}, 0
+        yield from made()
+
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= F.col("total") * least_share).select("lang", "gram")
@@ -152,17 +159,18 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return made.select(id_col, (rest == held).alias("held_out"), "lang_pred", "score")
 
 
-def held_out_bound(df: DataFrame, held: Column, model: BitmaskFilter, text_col: str = "text", lang_col: str = "lang", per_lang: int = 2000) -> float:
+def held_out_bound(df: DataFrame, held: Column, model: BitmaskFilter, text_col: str = "text", lang_col: str = "lang") -> float:
     """Six tenths of the least 1 % quantile, over the learned languages, of the scores of held-out texts told right, as far
-    as there are any; else LEAST_SCORE.  Texts of 400 characters or more count; at most about ``per_lang`` of each language."""
+    as there are any; else LEAST_SCORE.  All texts of 400 characters or more count; scores are cut to steps of 1 / STEPS."""
     rows = df.filter(held & (F.length(text_col) >= 400)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.filter(F.col("lang").isin(*model.langs)).groupBy("lang").count().collect()} if model.langs else {}
-    if not sizes:
+    if not model.langs:
         return LEAST_SCORE
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))])[F.col("lang")]
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-    told = predict(drawn, model, "text", ["lang"]).filter("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", 0.01).alias("q")).collect()
-    return 0.6 * min((r["q"] for r in told), default=LEAST_SCORE / 0.6)
+    told = predict(rows, model, "text", ["lang"]).filter("lang = lang_pred")
+    bins = told.groupBy("lang", F.floor(F.col("score") * STEPS).alias("step")).count()  # at most STEPS + 1 of each language
+    of_lang = Window.partitionBy("lang")
+    ranks = bins.select("lang", "step", F.sum("count").over(of_lang.orderBy("step")).alias("so_far"), F.sum("count").over(of_lang).alias("all"))
+    least = ranks.filter(100 * F.col("so_far") >= F.col("all")).groupBy("lang").agg(F.min("step").alias("q")).collect()
+    return 0.6 * min((r["q"] / STEPS for r in least), default=LEAST_SCORE / 0.6)
 
 
 def drop_unknown(df: DataFrame, model: BitmaskFilter, text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:

@@ -13,8 +13,8 @@ a document sum to 1.  Steps are accelerated by momentum.  A round is one aggrega
 holds the residual of each domain, and a document's rate is replayed from the residuals so
 far, so rounds write nothing and need no shuffle but that of a row for each task.
 
-The classifier sees hashed distinct words and four figures of a text.  It is fitted on at most ``max_labelled``
-labelled documents chosen by a hash (that sample of ids is what is broadcast), with word
+The classifier sees hashed distinct words and four figures of a text.  It is fitted on all labelled documents or,
+if ``max_labelled`` is set, on about so many chosen by a hash, with word
 counts by domain and bucket aggregated on the executors: domains * BUCKETS numbers.  Only
 codes whose odds differ beyond chance are kept.
 
@@ -40,6 +40,7 @@ from .decontaminate import let
 
 BUCKETS = 1 << 16  # a power of two
 BINS = 8
+BROADCAST = 200_000  # labels that are sent to every executor; more are joined by a shuffle
 CLIP = 4.0
 MARKS = "[#*$%&|<>!]"
 PUNCTUATION = ".,;:!?\"'()[]"
@@ -102,7 +103,7 @@ class DomainModel:
 
 
 def fit_domains(
-    df: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000
+    df: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", max_labelled: int | None = 20_000
 ) -> DomainModel:
     known = labels.select(F.col(id_col).alias("_id"), domain.alias("_domain")).filter("_id is not null and _domain is not null")
     known = known.groupBy("_id").agg(F.min("_domain").alias("_domain"))
@@ -110,9 +111,11 @@ def fit_domains(
     domains = sorted(sizes, key=lambda d: (-sizes[d], d))
     if len(domains) < 2:
         return DomainModel(domains, [0.0] * len(domains), np.zeros((0, 0)))
-    draw = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(draw < max_labelled / sum(sizes.values())).limit(2 * max_labelled)
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    taken = sum(sizes.values())
+    if max_labelled is not None:
+        draw = F.pmod(F.xxhash64("_id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        known, taken = known.filter(draw < max_labelled / taken).limit(2 * max_labelled), min(taken, 2 * max_labelled)
+    docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known) if taken <= BROADCAST else known, "_id")
     seen = docs.select("_domain", F.explode(let(words_of(F.col("_text")), lambda w: evidence(F.col("_text"), w))).alias("c")).groupBy("_domain", "c").count()
     size = BUCKETS + 4 * BINS
     counts = np.zeros((len(domains), size))
@@ -216,13 +219,14 @@ def mix(
     text_col: str = "text",
     max_rounds: int = 40,
     keep: list[str] | None = None,
+    max_labelled: int | None = 20_000,
 ) -> DataFrame:
     """The ``keep`` columns of ``df`` (all, if None) in ``_row``, with n_tokens (words), domain (the likeliest), posterior and
     rate of every row, and the residual of the fit, the same in every row.  All but the rate is computed once and written
     to the shared folder.
 
     ``targets``: share of the expected tokens for each domain; domains that are not named get none."""
-    model = fit_domains(df, labels, domain, id_col, text_col)
+    model = fit_domains(df, labels, domain, id_col, text_col, max_labelled)
     text = F.col(f"`{text_col}`")
     made = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), model.posterior(text, w).alias("posterior")))
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row"), made.alias("_made"))

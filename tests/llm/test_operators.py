@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,34 @@ def test_unlearned_language_of_the_same_script_is_dropped(spark):
     assert {r.doc_id for r in langid.drop_unknown(df, model, least_score=0.1).collect()} > kept
 
 
+def test_languages_are_learned_and_bounded_by_all_texts(spark):
+    """Texts that a draw of 2,000 of each language by hash would leave out count as well."""
+    rng = random.Random(9)
+    plain, odd = ["kalo", "mira", "tundo", "velis"], ["wexq", "jopz", "hibq"]
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    usual = [text(plain, 100) for _ in range(6000)]
+    tried = [text(odd, 60) + " " + text(plain, 60) for _ in range(400)]
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    left_out = [r.text for r in table(spark, tried).filter(draw > 0.6).collect()][:100]
+    held = F.col("doc_id") % 2 == 1
+    df = table(spark, [t for pair in zip(usual[: len(left_out)], left_out) for t in pair] + usual[len(left_out) :], lang=["xx"] * (len(usual) + len(left_out)))
+    model = langid.learn(df, ~held)
+    scores = sorted(model.predict(r.text)[1] for r in df.filter(held & (F.length("text") >= 400)).select("text").collect())
+    cut = math.floor(scores[math.ceil(len(scores) / 100) - 1] * langid.STEPS) / langid.STEPS
+    assert scores[0] < 0.9 and langid.held_out_bound(df, held, model) == pytest.approx(0.6 * cut)
+    assert cut < scores[len(scores) // 2] - 0.1
+    both = table(spark, usual + left_out, lang=["xx"] * (len(usual) + len(left_out)))
+    assert langid.learn(both, F.lit(True)).predict("wexq jopz hibq wexq hibq")[1] > 0.8 > model.predict("wexq jopz hibq wexq hibq")[1]
+
+
+def test_domains_are_fitted_on_all_labels_if_asked(spark):
+    words = ["the river runs far", "BUY!! spam %%%"]
+    labels = spark.createDataFrame([(i, ("plain", "low")[i % 2]) for i in range(400)], "doc_id long, domain string")
+    df = table(spark, [words[i % 2] for i in range(400)])
+    some, every = (mixing.fit_domains(df, labels, F.col("domain"), max_labelled=n) for n in (4, None))
+    assert not some.odds.any() and every.odds.any()
+
+
 def test_ties_go_to_the_language_met_more_often(spark):
     same = np.unique(langid.grams("one and the same"))
     made = langid.BitmaskFilter.build(["often", "seldom"], [same, same], bits=14)
@@ -429,6 +458,18 @@ def test_lm_tree_has_no_fixed_size(spark, head_values):
             assert got[i][1] - got[i][0] == pytest.approx(ratio(w), abs=1e-6)
 
 
+def test_words_come_in_blocks_of_bounded_size():
+    sizes = [3, 0, 40, 2, 2, 2, 9, 1]
+    texts = [np.arange(n, dtype=np.int64) + 100 * i for i, n in enumerate(sizes)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.int64()))], names=["w"])
+    for part in (batch, batch.slice(1, 6)):
+        made = list(lm_pst.blocks_of_words([part], 8))
+        want = [t for t in part.column(0).to_pylist() if t]
+        assert np.concatenate([w for w, _ in made]).tolist() == sum(want, [])
+        assert np.concatenate([f for _, f in made]).tolist() == [i == 0 for t in want for i in range(len(t))]
+        assert all(f[0] and len(w) < 8 + 40 for w, f in made) and len(made) >= 2
+
+
 def test_suffix_tree_probabilities_sum_to_one():
     size, rng = 6, np.random.default_rng(1)
     root = rng.dirichlet(np.ones(size))
