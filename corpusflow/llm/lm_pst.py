@@ -46,12 +46,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stored
+from .common import discard, fold, stored
 
 BITS = 26  # of the largest bitmap
 DEPTH = 6
 FLUSH = 1_500_000
 BLOCK = 250_000  # words that are handled at once
+TEXTS = 500  # that are sent at once
 KEYS_PER_TASK = 1_500_000
 SALT = 0x5851F42D4C957F2D  # tells keys of words from those of sequences
 
@@ -175,36 +176,35 @@ def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None, first: np.n
             ends, hashes = ends[go] + 1, longer(hashes[go], w[ends[go] + 1])
 
 
-def blocks_of_words(batches, whole: bool):
-    """(hashes of words, where texts begin) of about BLOCK words; ``whole``: the column holds texts, else arrays of hashes."""
-    hashes = Hashes()
-    held: list[np.ndarray] = []
-    size = 0
-
-    def made():
-        sizes = np.array([len(x) for x in held])
-        w = np.concatenate(held)
-        first = np.zeros(len(w), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        return w, first
-
+def blocks_of_words(batches, block: int = BLOCK):
+    """(hashes of words, where texts begin) of about ``block`` words from arrays of hashes; a longer text is a block of its own."""
     for batch in batches:
-        if not whole:
+        column = batch.column(0)
+        offsets = column.offsets.to_numpy()
+        w = column.values.to_numpy().view(np.uint64)
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        end, at = int(offsets[-1]), 0
+        while at < len(starts):
+            after = max(at + 1, int(np.searchsorted(starts, starts[at] + block)))
+            a, b = int(starts[at]), int(starts[after]) if after < len(starts) else end
+            first = np.zeros(b - a, bool)
+            first[starts[at:after] - a] = True
+            yield w[a:b], first
+            at = after
+
+
+def hashed_texts(train: DataFrame) -> DataFrame:
+    """Arrays ``w`` of the hashes of the words of every text, so that each round needn't cut and hash the texts anew."""
+
+    def run(batches):
+        hashes = Hashes()
+        for batch in batches:
             column = batch.column(0)
-            offsets, w = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-            if offsets[-1] > offsets[0]:
-                first = np.zeros(len(w), bool)
-                first[offsets[:-1][np.diff(offsets) > 0]] = True
-                yield w[offsets[0] : offsets[-1]], first[offsets[0] : offsets[-1]]
-            continue
-        for text in batch.column(0).to_pylist():
-            held.append(hashes.of(tokens(text)))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield made()
-                held, size = [], 0
-    if held:
-        yield made()
+            for at in range(0, len(column), TEXTS):
+                made = [hashes.of(tokens(text)).view(np.int64) for text in column.slice(at, TEXTS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64()))], names=["w"])
+
+    return train.select("text").mapInArrow(run, "w array<bigint>")
 
 
 def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) -> DataFrame:
@@ -213,28 +213,24 @@ def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) ->
 
     def run(batches):
         words, pairs, extended, symbols = shared.value
-        hashes = Hashes()
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                w = hashes.of(tokens(text))
-                first, last = np.ones(len(w), bool), np.zeros(len(w), bool)
-                for k, (ends, keys) in enumerate(runs(w, words, pairs), 1):
-                    if k == 2:
-                        first[ends] = False
-                    if k == length:
-                        last[ends[marked(extended, keys)]] = True
-                    if k == length + 1:
-                        last[ends[marked(symbols, keys)]] = True
-                        break
-                starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-                if len(ends):
-                    chain = np.searchsorted(starts, ends, "right") - 1
-                    final = np.r_[chain[1:] != chain[:-1], True]
-                    out += [w[starts[c] : e + 1].view(np.int64) for c, e in zip(chain[final], ends[final])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["w"])
-
-    return train.select("text").mapInArrow(run, "w array<bigint>")
+        for w, begins in blocks_of_words(batches):
+            first, last = np.ones(len(w), bool), np.zeros(len(w), bool)
+            for k, (ends, keys) in enumerate(runs(w, words, pairs, begins), 1):
+                if k == 2:
+                    first[ends] = False
+                if k == length:
+                    last[ends[marked(extended, keys)]] = True
+                if k == length + 1:
+                    last[ends[marked(symbols, keys)]] = True
+                    break
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+            if len(ends):
+                chain = np.searchsorted(starts, ends, "right") - 1
+                final = np.r_[chain[1:] != chain[:-1], True]
+                out = [w[starts[c] : e + 1].view(np.int64) for c, e in zip(chain[final], ends[final])]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["w"])
+
+    return train.mapInArrow(run, "w array<bigint>")
 
 
 def sequences(w: np.ndarray, first: np.ndarray, length: int, words, pairs, extended, listed):
@@ -271,7 +267,6 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
     Keys are counted block by block, and a block's counts go to the reducers as a few sorted arrays, one for each range of
     keys: what is shuffled is eight bytes a key, and no row is made of a key that is not frequent."""
     shared = train.sparkSession.sparkContext.broadcast(marks)
-    whole = train.columns == ["text"]
     ranges = 1 << max(3, int(words_there / KEYS_PER_TASK).bit_length())
     bits = np.uint64(65 - ranges.bit_length())
     out = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -288,7 +283,7 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
             n = n.astype(np.uint32)
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part(keys, i) for i in some], pa.binary()), pa.array([part(n, i) for i in some], pa.binary())], schema=out)
 
-        for w, first in blocks_of_words(batches, whole):
+        for w, first in blocks_of_words(batches):
             grams, _, _, alone = sequences(w, first, length, *shared.value)
             held += [grams, alone]
             size += len(grams) + len(alone)
@@ -320,13 +315,12 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
 def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray) -> DataFrame:
     """(key, context, shorter) of the sequences marked in ``frequent``."""
     shared = train.sparkSession.sparkContext.broadcast((marks, frequent))
-    whole = train.columns == ["text"]
     names = ["key", "context", "shorter"]
 
     def run(batches):
         marks, frequent = shared.value
         seen = np.zeros(0, np.uint64)
-        for w, first in blocks_of_words(batches, whole):
+        for w, first in blocks_of_words(batches):
             grams, context, short, _ = sequences(w, first, length, *marks)
             ok = marked(frequent, grams)
             keys, at = np.unique(grams[ok], return_index=True)
@@ -378,7 +372,7 @@ def grow(
         hashed(vocabulary.filter(F.col("n") >= min(few, rare))).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     )
     words, pairs, extended, symbols = bitmap(listed), None, None, None
-    values, length, part, there = [], 0, train, total
+    values, length, part, there = [], 0, stored(hashed_texts(train)), total
     while True:
         length += 1
         marks = (words, pairs, extended, symbols)
@@ -417,8 +411,10 @@ def grow(
             length += 1
             break
         if length == 2:
-            part = stored(stretches(train, length, words, pairs, extended, symbols))
+            texts, part = part, stored(stretches(part, length, words, pairs, extended, symbols))
+            discard(texts)
             there = part.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    discard(part)
     if not values:
         return None, 0, words, pairs
     table = values[0]
