@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,10 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    """Delete what ``stored`` wrote, once nothing reads it any more, and let the driver give back the memory of plans that are done."""
+    some = False
     for df in frames:
         path = getattr(df, "_corpusflow_path", None)
         if path:
             spark = df.sparkSession
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            some = True
+    if some:
+        del df, target
+        gc.collect()
+        spark._jvm.System.gc()
