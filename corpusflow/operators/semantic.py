@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import clean_text, section_key, token_count
 from ..functions.vectors import cosine
-from ..storage import stored
+from ..storage import discard, stored
 
 QUANTILE, HIGH_QUANTILE = 0.45, 0.80
 LEAST_TOKENS, MOST_TOKENS = 400, 800
@@ -66,7 +70,7 @@ def values_at(df: DataFrame, column: str, ranks: list[int], bins: int = 4096) ->
 
 def similarity_thresholds(similarities: DataFrame, quantile: float = QUANTILE, high: float = HIGH_QUANTILE) -> DataFrame:
     """A row: the distribution and both thresholds (exact, interpolated; 0 without any similarity)."""
-    known = similarities.select("similarity").filter("similarity is not null")
+    known = stored(similarities.select("similarity").filter("similarity is not null"))  # read once for each cut of the histogram
     n = known.count()
     names = ["least", *[f"p{round(100 * m)}" for m in MARKS], "most", "threshold", "high_threshold"]
     at = [0.0, *MARKS, 1.0, quantile, high]
@@ -74,6 +78,7 @@ def similarity_thresholds(similarities: DataFrame, quantile: float = QUANTILE, h
     exact = values_at(known, "similarity", sorted({r for p in places for r in (math.floor(p), math.ceil(p))})) if n else {}
     between = lambda p: exact[math.floor(p)] + (p - math.floor(p)) * (exact[math.ceil(p)] - exact[math.floor(p)])
     made = dict(zip(names, [float(between(p)) if n else 0.0 for p in places]))
+    discard(known)
     made["high_threshold"] = max(made["threshold"], made["high_threshold"])
     return similarities.sparkSession.createDataFrame([(n, *made.values())], "n long, " + ", ".join(f"{k} double" for k in names))
 
@@ -92,52 +97,71 @@ def limit_of(similarity: float, low: float, high: float, least: int, most: int)
     return round(least + (similarity - low) / max(high - low, 1e-6) * (most - least))
 
 
-def fold_document(rows: pd.DataFrame, low: float, high: float, least: int, most: int) -> list[dict]:
-    """Greedy chunks of the ordered records of one document.
+RECORD = ("doc_id", "page_no", "block_no", "chunk_id", "section_key", "token_count", "text", "embedding")
+CHUNKS_SENT = 2_000  # at once
+
+
+def fold(records: Iterable[tuple], low: float, high: float, least: int, most: int) -> Iterator[dict]:
+    """Greedy chunks of records (as in RECORD) that come document by document, ordered.
 
     A record joins the open chunk if it is similar enough to the chunk's mean vector (more so in another
     section) and the tokens of both stay within a limit that rises with the similarity."""
-    made: list[dict] = []
     open_: dict | None = None
-    for r in rows.sort_values(list(ORDER), kind="stable").itertuples():
-        vector = np.asarray(r.embedding, np.float64)
-        section = r.section_key if isinstance(r.section_key, str) else None
-        if open_ is not None:
+    for doc_id, page_no, block_no, chunk_id, section, tokens, text, vector in records:
+        if open_ is not None and doc_id == open_["doc_id"]:
             mean = open_["sum"] / len(open_["chunk_ids"])
             length = np.sqrt(mean @ mean) * np.sqrt(vector @ vector)
             similarity = float(mean @ vector / length) if length > 0 else 0.0
             same = section is None or open_["section"] is None or section == open_["section"]
             accept = ACCEPT_SAME if same else ACCEPT_OTHER
-            if similarity >= accept and open_["token_count"] + r.token_count <= limit_of(similarity, low, high, least, most):
+            if similarity >= accept and open_["token_count"] + tokens <= limit_of(similarity, low, high, least, most):
                 open_["sum"] = open_["sum"] + vector
-                open_["token_count"] += int(r.token_count)
-                open_["last_page"] = int(r.page_no)
+                open_["token_count"] += tokens
+                open_["last_page"] = page_no
                 open_["section"] = section or open_["section"]
                 open_["merge_scores"].append({"similarity": similarity, "effective_threshold": accept})
-                for k, v in (("chunk_ids", r.chunk_id), ("block_nos", int(r.block_no)), ("texts", r.text)):
+                for k, v in (("chunk_ids", chunk_id), ("block_nos", block_no), ("texts", text)):
                     open_[k].append(v)
                 continue
-            made.append(open_)
+        if open_ is not None:
+            yield open_
         open_ = {
-            "doc_id": r.doc_id, "first_page": int(r.page_no), "last_page": int(r.page_no), "first_block": int(r.block_no), "token_count": int(r.token_count),
-            "chunk_ids": [r.chunk_id], "block_nos": [int(r.block_no)], "texts": [r.text], "merge_scores": [], "sum": vector, "section": section,
+            "doc_id": doc_id, "first_page": page_no, "last_page": page_no, "first_block": block_no, "token_count": tokens,
+            "chunk_ids": [chunk_id], "block_nos": [block_no], "texts": [text], "merge_scores": [], "sum": vector, "section": section,
         }
     if open_ is not None:
-        made.append(open_)
-    return made
+        yield open_
+
+
+def fold_document(rows: pd.DataFrame, low: float, high: float, least: int, most: int) -> list[dict]:
+    """The chunks of one document's records in any order."""
+    ordered = rows.sort_values(list(ORDER), kind="stable")[list(RECORD)].itertuples(index=False)
+    text = lambda s: s if isinstance(s, str) else None
+    return list(fold(((d, int(p), int(b), c, text(s), int(n), t, np.asarray(e, np.float64)) for d, p, b, c, s, n, t, e in ordered), low, high, least, most))
 
 
 def semantic_chunks(records: DataFrame, low: float, high: float, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> DataFrame:
     """Chunks of all documents with a running number over documents.  The fold needs one document at a time.
 
     ``records``: doc_id, page_no, block_no, chunk_id, section_key, token_count, text, embedding."""
-    schema = CHUNK_SCHEMA.format(doc=records.schema["doc_id"].dataType.simpleString())
-    names = [f.split(" ")[0] for f in schema.replace("<", " ").split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold_document(rows, low, high, least, most)).reindex(columns=names)
-
-    folded = stored(records.groupBy("doc_id").applyInPandas(run, schema))
+    schema = T.StructType.fromDDL(CHUNK_SCHEMA.format(doc=records.schema["doc_id"].dataType.simpleString()))
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            vectors = batch.column(len(RECORD) - 1)
+            at, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+            yield from zip(*[batch.column(i).to_pylist() for i in range(len(RECORD) - 1)], (values[a:b] for a, b in zip(at[:-1], at[1:])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = fold(rows(batches), low, high, least, most)
+        while part := list(itertools.islice(made, CHUNKS_SENT)):
+            yield pa.RecordBatch.from_pylist([{k: c[k] for k in arrow.names} for c in part], schema=arrow)
+
+    # The records of a document come one after another; no more than the open chunk is held.
+    types = {"page_no": "int", "block_no": "int", "token_count": "long", "embedding": "array<double>"}
+    typed = records.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in RECORD])
+    folded = stored(typed.repartition("doc_id").sortWithinPartitions("doc_id", *[F.asc_nulls_last(c) for c in ORDER]).mapInArrow(run, schema))
     # Numbers run over documents: counts by document are sorted by range, and only a count for each range reaches the driver.
     per_doc = stored(folded.groupBy("doc_id").agg(F.count("*").alias("_n")).repartitionByRange("doc_id").withColumn("_range", F.spark_partition_id()))
     sizes = sorted(per_doc.groupBy("_range").agg(F.sum("_n")).collect())
@@ -156,12 +180,12 @@ def atomic_records(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     without text or vector go.
 
     ``chunks``: as ``atomic_chunks`` gives them, with ``chunk_no``."""
-    last = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("content_for_embedding", "content_for_generation", "metadata", "block_no"), "chunk_no").alias("c"))
+    last = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(F.struct("content_for_embedding", F.col("content_for_generation.section_title").alias("section_title"), "metadata.doc_id", "metadata.page_no", "block_no"), "chunk_no").alias("c"))
     both = vectors.select(F.col("id").alias("chunk_id"), F.col("values").alias("embedding")).join(last, "chunk_id")
     text = F.coalesce("c.content_for_embedding", F.lit(""))
     return both.filter(text != "").select(
-        F.col("c.metadata.doc_id").alias("doc_id"), F.coalesce("c.metadata.page_no", F.lit(0)).cast("int").alias("page_no"), F.col("c.block_no").alias("block_no"),
-        "chunk_id", section_key(F.col("c.content_for_generation.section_title")).alias("section_key"), token_count(text).cast("long").alias("token_count"),
+        F.col("c.doc_id").alias("doc_id"), F.coalesce("c.page_no", F.lit(0)).cast("int").alias("page_no"), F.col("c.block_no").alias("block_no"),
+        "chunk_id", section_key(F.col("c.section_title")).alias("section_key"), token_count(text).cast("long").alias("token_count"),
         text.alias("text"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
 

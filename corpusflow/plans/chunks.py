@@ -67,8 +67,9 @@ def vectors_of_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """Merge, chunks, vectors, fold and attached figures: a row for each semantic chunk."""
-    chunks = stored(op.atomic_chunks(_merged(spark, d)))
-    records = stored(semantic.atomic_records(providers.vector_rows(op.embedding_candidates(chunks)), chunks.withColumn("chunk_no", F.lit(1))))
+    chunks = stored(op.atomic_chunks(_merged(spark, d)).drop("raw_fields"))  # which no later step reads
+    candidates = op.embedding_candidates(chunks).select(F.col("chunk_id").alias("id"), "content_for_embedding")  # no more goes to the embedder
+    records = stored(semantic.atomic_records(providers.embedded(candidates, "content_for_embedding"), chunks.withColumn("chunk_no", F.lit(1))))
     cut = semantic.similarity_thresholds(semantic.adjacent_similarity(records)).first()
     made = semantic.semantic_chunks(records, cut["threshold"], cut["high_threshold"])
     figures = op.auxiliary(chunks).select(F.col("metadata.doc_id").alias("doc_id"), "chunk_id", F.col("metadata.page_no").alias("page_no"), "block_no", "content_for_generation")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 BATCH = 128
 DIMENSIONS = 64
+WORDS_KEPT = 100_000
 #: Texts to as many vectors.
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 #: Prompts to as many answers, None where there is none.
@@ -34,11 +35,19 @@ def require(library: str, key: str) -> None:
 def hash_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     """Signed counts of hashed words, of length 1: texts that share words are similar.  The same on every machine."""
 
+    places: dict[str, int] = {}  # of words, with their signs; begun anew when full
+
+    def place(word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        at = places[word] = (h >> 1) % dimensions + (0 if h & 1 else dimensions)
+        return at
+
     def one(text: str) -> list[float]:
-        out = np.zeros(dimensions)
-        for word in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out[(h >> 1) % dimensions] += 1.0 if h & 1 else -1.0
+        if len(places) > WORDS_KEPT:
+            places.clear()
+        at = [places[w] if w in places else place(w) for w in text.lower().split()]
+        n = np.bincount(np.array(at, np.int64), minlength=2 * dimensions)
+        out = (n[:dimensions] - n[dimensions:]).astype(np.float64)
         if not out.any():
             out[0] = 1.0
         return (out / np.sqrt(out @ out)).tolist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_count
+from ..functions.text import has_more_tokens
 
 LINES_PER_PAGE = 6
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
@@ -19,7 +19,7 @@ def blocks_from_documents(docs: DataFrame) -> DataFrame:
     place = lines.withColumn("page_no", F.floor(F.col("i") / LINES_PER_PAGE).cast("int") + 1).withColumn("reading_order", F.col("i") % LINES_PER_PAGE + 1)
     turn = F.col("doc_id") + F.col("i")
     kind = (
-        F.when((F.col("reading_order") == 1) & (token_count(F.col("text")) <= 8), "title")
+        F.when((F.col("reading_order") == 1) & ~has_more_tokens(F.col("text"), 8), "title")
         .when(turn % 7 == 3, "figure").when(turn % 7 == 5, "table").when(turn % 11 == 4, "formula").otherwise("text")
     )
     left = 40.0 + 60.0 * (turn % 4)

@@ -181,6 +181,37 @@ def test_fold_and_thresholds(spark):
     assert empty["threshold"] == 0.0
 
 
+def test_fold_and_thresholds_take_one_pass(spark, monkeypatch):
+    """A pandas group for each document, and the window anew for each cut of the histogram, took chunks_end_to_end beyond its time."""
+    rows = [(None if i < 4 else i // 4, i % 2, None if i % 7 == 0 else i % 4, f"c{i:02d}", "s" if i % 3 else None, 100, "t", [1.0, i % 5 - 2.0]) for i in range(40)]
+    schema = "doc_id long, page_no int, block_no int, chunk_id string, section_key string, token_count long, text string, embedding array<double>"
+    records = spark.createDataFrame(rows, schema)
+    kept, plans = semantic.stored, []
+    monkeypatch.setattr(semantic, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    cuts = semantic.similarity_thresholds(semantic.adjacent_similarity(records)).first()
+    assert cuts["n"] == 30 and sum("Window" in p for p in plans) == 1
+    frame = pd.DataFrame(rows, columns=[f.split(" ")[0] for f in schema.split(", ")]).fillna({"block_no": 9})
+    records = spark.createDataFrame(rows, schema).fillna({"block_no": 9})
+    got = semantic.semantic_chunks(records, -0.5, 0.5).collect()
+    assert not any("InPandas" in p for p in plans)
+    for d in range(1, 10):
+        want = semantic.fold_document(frame[frame.doc_id == d], -0.5, 0.5, 400, 800)
+        own = sorted((r for r in got if r.doc_id == d), key=lambda r: r.ordinal)
+        assert sorted((c["chunk_ids"], c["token_count"], c["last_page"]) for c in want) == sorted((list(r.chunk_ids), r.token_count, r.last_page) for r in own)
+
+
+def test_classes_of_white_space_are_the_same_for_java(spark):
+    signs = spark.range(0x110000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).filter("c <> ''")
+    blank = F.col("c").rlike(T.WS)
+    assert signs.filter((blank != F.col("c").rlike(T.BLANK)) | (blank == F.col("c").rlike(T.SOLID))).count() == 0
+    odd = ["", " ", "  ", "a b", "a  b", "\ta\u00a0\u2003b \t", " \n", "\u3000", "a\tb", "a \n", None, "x " * 9, "x " * 8, " x" * 9, "x\u2028y z"]
+    df = spark.createDataFrame([(t,) for t in odd], "c string")
+    c = F.col("c")
+    plain = F.trim(F.regexp_replace(c, T.WS + "+", " "))
+    many = F.coalesce(F.regexp_count(c, F.lit(T.NOT_WS + "+")), F.lit(0))
+    assert df.filter(~T.collapse(c).eqNullSafe(plain) | (T.token_count(c) != many) | (T.has_more_tokens(c, 8) != (many > 8))).count() == 0
+
+
 def test_blocks_of_empty_documents(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a\nb")], "doc_id long, text string")
     assert blocks_from_documents(df).groupBy("doc_id").count().orderBy("doc_id").collect()[2]["count"] == 2
