@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fields, map_rows, packed, stored
+from .common import discard, fields, giving_back, map_rows, packed, stored
 
 SIZE = 5
 M = 14
@@ -194,7 +194,7 @@ def postings(texts: DataFrame, size: int) -> DataFrame:
                 s = np.unique((shingler.shingles(text) >> U(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(s), pa.binary()), pa.array(s)], schema=schema)
 
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, s int")
+    return texts.select("digest", "text").mapInArrow(giving_back(run), "digest binary, s int")
 
 
 def alone(each: DataFrame) -> DataFrame:

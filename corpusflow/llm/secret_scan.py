@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import fields, map_rows
+from .common import fields, map_rows, packed
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -234,6 +234,5 @@ def redact_secrets(df: DataFrame, text_col: str = "text", least_cost: float = 0.
 
     from pyspark.sql import functions as F
 
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    made = map_rows(whole, start, schema, ["_text"], ["_row"])
+    made = map_rows(packed(df), start, schema, [("_row", text_col)], ["_row"])
     return made.select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.llm import decontaminate, langid, lm_pst, mixing, neardup, pii, quality_pu, quality_rules, secret_scan, token_counts
+from corpusflow.llm import common
 from corpusflow.llm.common import fold, fold_of
 
 LONG = " ".join(f"word{i % 701}" for i in range(30_000))
@@ -551,3 +552,37 @@ def test_mixing(spark):
     none = mixing.mix(table(spark, EDGES), labels.limit(0), F.col("domain"), targets)
     assert {r.rate for r in none.collect()} == {1.0}
     assert mixing.mix(table(spark, []), labels, F.col("domain"), targets).count() == 0
+
+
+def test_rows_are_mapped_a_few_at_a_time_and_in_order(spark):
+    df = common.packed(spark.range(3000).selectExpr("id", "if(id % 7 = 0, null, concat('t', id)) AS text").coalesce(1))
+    start = lambda: lambda texts: {"t": texts, "at_once": [len(texts)] * len(texts)}
+    rows = common.map_rows(df, start, common.fields("t string, at_once int"), [("_row", "Text")], ["_row"]).collect()
+    assert [(r["_row"]["id"], r["t"]) for r in rows] == [(i, None if i % 7 == 0 else f"t{i}") for i in range(3000)]
+    assert max(r["at_once"] for r in rows) <= 500
+
+
+def test_texts_are_sent_to_python_once(spark, monkeypatch):
+    sent = []
+    own = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *a, **b: (sent.append(df.schema.simpleString()), own(df, *a, **b))[1])
+    secret = "password = hunter2hunter2"
+    df = spark.createDataFrame([(1, secret, None), (2, None, "x"), (3, "plain words", "y")], "doc_id long, text string, more string")
+    made = {r["doc_id"]: (r["text"], r["more"]) for r in secret_scan.redact_secrets(df).collect()}
+    assert made[2] == (None, "x") and made[3] == ("plain words", "y") and "hunter2" not in made[1][0]
+    assert [s.count("string") for s in sent] == [2]
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("end"))
+
+    def run(batches):
+        for batch in batches:
+            told.append(batch)
+            yield batch
+
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2] and told == [1, 2, "end"]
+    common.pa.array(["x" * 100] * 1000)
+    monkeypatch.undo()
+    common.give_back()
