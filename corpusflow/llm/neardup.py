@@ -22,6 +22,9 @@ similarity 0.75 misses every table with probability below 0.001, one of 0.85 bel
 5. Components come from large-star / small-star rounds on the verified links; every round is
    written to the shared folder.  Nothing but counts reaches the driver.
 
+Steps are stored before they meet themselves, so that no plan holds a chain of joins twice: what the
+driver keeps of a plan while it runs grows with the square of its exchanges.
+
 The sketch rules a pair of similarity 0.75 out with probability below 1e-4.
 
 Words are maximal runs without ASCII white space, A-Z lower-cased.  A text of fewer than
@@ -306,20 +309,20 @@ def find_near_duplicates(
     still = stored(placed.join(open_keys.select("key", "members"), "key"))
     each = stored(postings(texts.join(still.select("digest").distinct(), "digest", "left_semi"), size))
     able = alive.select("digest", "size", "sketch", "a", "b").join(alone(each), "digest", "left")
-    able = able.withColumn("met", F.col("size") - F.coalesce("alone", F.lit(0))).filter(F.col("met") * 100 >= F.col("size") * percent)
-    crowd = still.filter(F.col("members") > crowded).select("digest").distinct()
-    common, rare = spread(each.join(crowd, "digest", "left_semi").join(able, "digest", "left_semi"), scarce)
-    able = stored(able.join(common, "digest", "left").select("digest", "size", "sketch", "a", "b", "met", F.coalesce("common", F.lit(0)).alias("common")))
+    likely = stored(able.withColumn("met", F.col("size") - F.coalesce("alone", F.lit(0))).filter(F.col("met") * 100 >= F.col("size") * percent))
+    crowd = still.filter(F.col("members") > crowded).select("digest").distinct().join(likely, "digest", "left_semi")
+    dense = stored(each.join(crowd, "digest", "left_semi"))
+    common, rare = spread(dense, scarce)
+    able = stored(likely.join(common, "digest", "left").select("digest", "size", "sketch", "a", "b", "met", F.coalesce("common", F.lit(0)).alias("common")))
 
     def side(df: DataFrame, k: str, on: str) -> DataFrame:
-        return df.select(on, *[F.col(c).alias(c + k) for c in ("digest", "component", "members", "sketch", "size", "met", "common", "a", "b")])
+        return df.select(on, *[F.col(c).alias(c + k) for c in df.columns if c != on])
 
-    def paired(df: DataFrame, on: str, condition: Column) -> DataFrame:
-        """Pairs of rows of ``df`` (digest, component, members) with equal ``on`` that may be links of two components."""
-        both = df.join(able, "digest")
+    def paired(rows: DataFrame, on: str, condition: Column) -> DataFrame:
+        """Pairs of rows of ``rows`` (of ``still`` and ``able``) with equal ``on`` that may be links of two components."""
         # What two sets have in common is at most what each has in common with any other.
         apart = (F.col("componentx") != F.col("componenty")) & (F.col("digestx") < F.col("digesty"))
-        both = side(both, "x", on).join(side(both, "y", on), on)
+        both = side(rows, "x", on).join(side(rows, "y", on), on)
         return both.filter(apart & enough("met", percent) & condition & sketches_agree("sketchx", "sketchy")).select(F.col("digestx").alias("x"), F.col("digesty").alias("y"))
 
     # A pair comes from one table only, that of its least common halves.
@@ -327,19 +330,23 @@ def find_near_duplicates(
     # In a crowded entry two sets share a scarce shingle, or frequent ones alone must be enough.
     sparse = F.col("members") <= crowded
     largest = F.col("common") * F.lit((100 + percent) / percent) - F.col("size")  # the largest set that frequent shingles can be enough for
-    open_rows = still.join(able.select("digest", "size", "common"), "digest").filter(sparse | (largest >= F.col("size") * F.lit(percent / 100)))
-    by_key = paired(open_rows.select("digest", "component", "key", "members"), "key", home & ((F.col("membersx") <= crowded) | enough("common", percent)))
-    by_shingle = paired(rare.join(still.select("digest", "component", "members").dropDuplicates(["digest"]), "digest"), "s", F.lit(True))
+    open_rows = stored(still.join(able, "digest").filter(sparse | (largest >= F.col("size") * F.lit(percent / 100))))
+    by_key = paired(open_rows, "key", home & ((F.col("membersx") <= crowded) | enough("common", percent)))
+    scarce_rows = stored(rare.join(still.select("digest", "component").dropDuplicates(["digest"]).join(able.drop("a", "b"), "digest"), "digest"))
+    by_shingle = paired(scarce_rows, "s", F.lit(True))
     met_again = by_key.unionByName(by_shingle)
     tried = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = met_again.distinct().join(tried, ["x", "y"], "left_anti")
+    rest = stored(met_again.distinct().join(tried, ["x", "y"], "left_anti"))
     links_again = stored(verified(rest, texts, size, percent))
-    discard(still, each, able, texts, stars)
+    discard(still, each, likely, dense, able, open_rows, scarce_rows, rest, texts, stars, links)
 
-    last = components(links.unionByName(links_again))
+    # The components of the first links stand for them.
+    last = first
+    if not links_again.isEmpty():
+        last = stored(components(first.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(links_again)))
     members = last.withColumnRenamed("node", "digest").join(alive.select("digest", "first_id"), "digest")
     named = members.groupBy("component").agg(F.min("first_id").alias("named"))
-    linked = members.join(named, "component").select("digest", "named")
+    linked = stored(members.join(named, "component").select("digest", "named"))
     every = classes.select("digest", "first_id").join(linked, "digest", "left").select("digest", F.coalesce("named", "first_id").alias("component_id"))
     return (
         rows.select("_id", "n_shingles", "digest", *keep)

@@ -222,6 +222,20 @@ def test_crowded_entries_lose_no_link(spark):
     assert got == components(texts) and len({c for _, c in got.values()}) > 3
 
 
+def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
+    """The driver's memory goes with the largest plan; one of 32 joins, most of them made twice, took too much of it."""
+    joins = []
+
+    def counted(df, store=neardup.stored):
+        joins.append(len(re.findall(r"\bJoin \w", df._jdf.queryExecution().optimizedPlan().toString())))
+        return store(df)
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    last = neardup.find_near_duplicates(table(spark, ["a b c d e f g", "a b c d e f g h", "x y", None]))
+    assert last.count() == 4 and max(joins) <= 8, joins
+    assert len(re.findall(r"\bJoin \w", last._jdf.queryExecution().optimizedPlan().toString())) <= 8
+
+
 def test_bitmask_filter_is_never_wrong_on_members():
     rng = np.random.default_rng(2)
     sets = [rng.integers(0, 1 << 32, 500, dtype=np.uint32) for _ in range(11)]
