@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import discard, shared_folder, stored  # noqa: F401
+from ..storage import discard, let_go, shared_folder, stored  # noqa: F401
 
 #: Rows that Python holds as objects at a time.
 ROWS_AT_ONCE = 500

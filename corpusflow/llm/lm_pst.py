@@ -27,7 +27,8 @@ beyond that.  So the tree is one distributed table (sequence, value) and a docum
 sum over its sequences.  Sequences are named by 64-bit hashes.  Counts, tests and table stay on
 the executors; bitmaps of fixed size only spare sequences that can't count, a full one spares none.
 
-For scoring, the ``head`` most frequent words and the ``head_values`` most frequent sequences of
+Every text is cut and hashed once; words are counted, contexts named and texts scored from the hashes,
+block by block.  For scoring, the ``head`` most frequent words and the ``head_values`` most frequent sequences of
 the table are broadcast (fixed numbers of them); the rest are looked up by a join, one row for each
 document and distinct rare word or sequence, so neither vocabulary nor tree is cut off.
 
@@ -38,19 +39,20 @@ of a count of 0; without training documents every probability is 1; repeated row
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, fold, stored
+from .common import discard, fold, giving_back, let_go, stored
 
 BITS = 26  # of the largest bitmap
 DEPTH = 6
-FLUSH = 1_500_000
+FLUSH = 3_000_000
 BLOCK = 250_000  # words that are handled at once
 TEXTS = 500  # that are sent at once
 KEYS_PER_TASK = 1_500_000
@@ -63,54 +65,40 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def count_words(train: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(word, n) over all tokens of the column ``text``."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-
-    def run(batches):
-        counts: Counter = Counter()
-
-        def made():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode("utf-8", "replace") for w in counts]), pa.array(list(counts.values()), pa.int64())], schema=schema
-            )
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > flush:
-                yield made()
-                counts.clear()
-        if counts:
-            yield made()
-
-    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 @dataclass
-class Head:
-    """The most frequent words, most frequent first, and the root's figures."""
-
-    words: list[str]
-    counts: np.ndarray
-    total: int
-    distinct: int
-    ids: dict[bytes, int] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return {**self.__dict__, "ids": {}}
+class Lookup:
+    """Values of 64-bit keys, found by their upper bits."""
 
-    def index(self) -> dict[bytes, int]:
-        if not self.ids:
-            self.ids = {w.encode(): i for i, w in enumerate(self.words)}
-        return self.ids
-
-    def log_root(self, counts) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+    keys: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    bits: int
+    most: int
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        get = self.index().get
-        return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Lookup:
+        order = np.argsort(keys)
+        bits = max(1, (2 * len(keys)).bit_length())
+        n = np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return cls(keys[order], values[order], np.r_[0, np.cumsum(n)].astype(np.int32), bits, int(n.max()))
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each of ``keys`` is, or -1."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        upper = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[upper], self.starts[upper + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        for _ in range(self.most):
+            ok = self.keys[at] == keys[left]
+            out[left[ok]] = at[ok]
+            more = ~ok & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+            if not len(left):
+                break
+        return out
 
 
 class Hashes(dict):
@@ -177,11 +165,9 @@ def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None, first: np.n
 
 
 def blocks_of_words(batches, block: int = BLOCK):
-    """(hashes of words, where texts begin) of about ``block`` words from arrays of hashes; a longer text is a block of its own."""
+    """(hashes of words, where texts begin) of about ``block`` words from arrays of hashes, or their bytes; a longer text is a block of its own."""
     for batch in batches:
-        column = batch.column(0)
-        offsets = column.offsets.to_numpy()
-        w = column.values.to_numpy().view(np.uint64)
+        w, offsets = words_of(batch.column(0))
         starts = offsets[:-1][np.diff(offsets) > 0]
         end, at = int(offsets[-1]), 0
         while at < len(starts):
@@ -193,18 +179,42 @@ def blocks_of_words(batches, block: int = BLOCK):
             at = after
 
 
-def hashed_texts(train: DataFrame) -> DataFrame:
-    """Arrays ``w`` of the hashes of the words of every text, so that each round needn't cut and hash the texts anew."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column, and where each row's begin and end."""
+    if pa.types.is_list(column.type):
+        return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return held[: len(held) // 8 * 8].view(np.uint64), offsets // 8
+
+
+def as_bytes(w: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A row of bytes for each stretch of ``w`` between two ``offsets``."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(w))])
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``w``, the bytes of the hashes of their words, in place of ``text``."""
+    keep = [c for c in docs.columns if c != "text"]
+    kept = docs.select(*keep).schema
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            column = batch.column(0)
-            for at in range(0, len(column), TEXTS):
-                made = [hashes.of(tokens(text)).view(np.int64) for text in column.slice(at, TEXTS).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64()))], names=["w"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                words, ends = [], [0]
+                for text in part.column(0).to_pylist():
+                    words += tokens(text)
+                    ends.append(len(words))
+                w = as_bytes(hashes.of(words), np.array(ends, np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], w], names=[*keep, "w"])
 
-    return train.select("text").mapInArrow(run, "w array<bigint>")
+    return docs.select("text", *keep).mapInArrow(giving_back(run), T.StructType([*kept.fields, T.StructField("w", T.BinaryType())]))
 
 
 def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) -> DataFrame:
@@ -227,10 +237,10 @@ def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) ->
             if len(ends):
                 chain = np.searchsorted(starts, ends, "right") - 1
                 final = np.r_[chain[1:] != chain[:-1], True]
-                out = [w[starts[c] : e + 1].view(np.int64) for c, e in zip(chain[final], ends[final])]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["w"])
+                out = [w[starts[c] : e + 1].tobytes() for c, e in zip(chain[final], ends[final])]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
-    return train.mapInArrow(run, "w array<bigint>")
+    return train.mapInArrow(giving_back(run), "w binary")
 
 
 def sequences(w: np.ndarray, first: np.ndarray, length: int, words, pairs, extended, listed):
@@ -261,14 +271,41 @@ def sequences(w: np.ndarray, first: np.ndarray, length: int, words, pairs, exten
     return grams[ok], at[gram_ends[ok] - 1], short[ok], own[marked(extended, last[ends])]
 
 
-def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, words_there: int) -> DataFrame:
-    """(key, n) of the sequences, and of contexts alone, that occur at least ``least`` times in texts or stretches.
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second and so on, which is what compresses."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(held: bytes, kind: type = np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Sorted numbers by their differences."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def from_steps(held: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(held), dtype=np.uint64)
+
+
+def ranges_for(words_there: int) -> int:
+    return 1 << max(3, int(words_there / KEYS_PER_TASK).bit_length())
+
+
+def cut(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """The ranges that sorted keys fall into, and where."""
+    cuts = np.searchsorted(keys >> np.uint64(65 - ranges.bit_length()), np.arange(ranges + 1, dtype=np.uint64))
+    return [(i, slice(cuts[i], cuts[i + 1])) for i in range(ranges) if cuts[i] < cuts[i + 1]]
+
+
+def count_keys(frame: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], Iterable[np.ndarray]], least: int, words_there: int) -> DataFrame:
+    """(key, n) of the keys of all blocks that occur at least ``least`` times.
 
     Keys are counted block by block, and a block's counts go to the reducers as a few sorted arrays, one for each range of
-    keys: what is shuffled is eight bytes a key, and no row is made of a key that is not frequent."""
-    shared = train.sparkSession.sparkContext.broadcast(marks)
-    ranges = 1 << max(3, int(words_there / KEYS_PER_TASK).bit_length())
-    bits = np.uint64(65 - ranges.bit_length())
+    keys: what is shuffled is less than eight bytes a key, and no row is made of a key that is not frequent."""
+    ranges = ranges_for(words_there)
     out = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
@@ -277,16 +314,13 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
 
         def made():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(keys >> bits, np.arange(ranges + 1, dtype=np.uint64))
-            some = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
-            part = lambda x, i: x[cuts[i] : cuts[i + 1]].tobytes()
-            n = n.astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([part(keys, i) for i in some], pa.binary()), pa.array([part(n, i) for i in some], pa.binary())], schema=out)
+            parts, n = cut(keys, ranges), n.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([steps(keys[x]) for _, x in parts], pa.binary()), pa.array([planes(n[x]) for _, x in parts], pa.binary())], schema=out)
 
         for w, first in blocks_of_words(batches):
-            grams, _, _, alone = sequences(w, first, length, *shared.value)
-            held += [grams, alone]
-            size += len(grams) + len(alone)
+            for keys in keys_of(w, first):
+                held.append(keys)
+                size += len(keys)
             if size > FLUSH:
                 yield made()
                 held, size = [], 0
@@ -296,8 +330,8 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
     def merge(batches):
         keys, counts = [], []
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            keys += map(from_steps, batch.column(1).to_pylist())
+            counts += [from_planes(x, np.uint32) for x in batch.column(2).to_pylist()]
         if keys:
             key, n = np.concatenate(keys), np.concatenate(counts)
             keys.clear(), counts.clear()
@@ -308,29 +342,69 @@ def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, wor
             kept = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(key[starts][kept].view(np.int64)), pa.array(n[kept])], names=["key", "n"])
 
-    blobs = train.mapInArrow(count, "range int, keys binary, counts binary")
+    blobs = frame.mapInArrow(giving_back(count), "range int, keys binary, counts binary")
     return blobs.repartition(ranges, "range").mapInArrow(merge, "key long, n long")
 
 
-def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray) -> DataFrame:
-    """(key, context, shorter) of the sequences marked in ``frequent``."""
+def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, words_there: int) -> DataFrame:
+    """(key, n) of the sequences, and of contexts alone, that occur at least ``least`` times in texts or stretches."""
+    shared = train.sparkSession.sparkContext.broadcast(marks)
+
+    def keys_of(w, first):
+        grams, _, _, alone = sequences(w, first, length, *shared.value)
+        return grams, alone
+
+    return count_keys(train, keys_of, least, words_there)
+
+
+def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray, words_there: int) -> DataFrame:
+    """(key, context, shorter) of the sequences marked in ``frequent``.  As the keys, they go to the reducers in sorted arrays.
+
+    A key isn't sent: it is made of its context and last word, and behind one word that is the shorter sequence."""
     shared = train.sparkSession.sparkContext.broadcast((marks, frequent))
-    names = ["key", "context", "shorter"]
+    ranges = ranges_for(words_there)
+    out = pa.schema([("range", pa.int32()), ("contexts", pa.binary()), ("keys", pa.binary()), ("shorter", pa.binary())])
+
+    def distinct(keys, *more):
+        keys, at = np.unique(keys, return_index=True)
+        return keys, *(x[at] for x in more)
 
     def run(batches):
         marks, frequent = shared.value
-        seen = np.zeros(0, np.uint64)
+        held: list[tuple] = []
+        size = 0
+
+        def made():
+            keys, context, short = distinct(*map(np.concatenate, zip(*held)))
+            parts, rows = cut(keys, ranges), []
+            for i, x in parts:
+                order = np.argsort(context[x])
+                rows.append((i, steps(context[x][order]), planes(keys[x][order]) if length > 1 else b"", planes(short[x][order])))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
+
         for w, first in blocks_of_words(batches):
             grams, context, short, _ = sequences(w, first, length, *marks)
             ok = marked(frequent, grams)
-            keys, at = np.unique(grams[ok], return_index=True)
-            new = ~np.isin(keys, seen, assume_unique=True)
-            keys, at = keys[new], at[new]
-            seen = np.union1d(seen, keys) if len(seen) < FLUSH else keys
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, context[ok][at], short[ok][at])], names=names)
+            if ok.any():
+                held.append(distinct(grams[ok], context[ok], short[ok]))
+                size += len(held[-1][0])
+            if size > FLUSH:
+                yield made()
+                held, size = [], 0
+        if size:
+            yield made()
+
+    def merge(batches):
+        found = []
+        for batch in batches:
+            for contexts, keys, short in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                context, short = from_steps(contexts), from_planes(short)
+                found.append((from_planes(keys) if length > 1 else longer(context, short), context, short))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in distinct(*map(np.concatenate, zip(*found)))], names=["key", "context", "shorter"])
 
-    found = train.mapInArrow(run, "key long, context long, shorter long")
-    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"))
+    blobs = train.mapInArrow(giving_back(run), "range int, contexts binary, keys binary, shorter binary")
+    return blobs.repartition(ranges, "range").mapInArrow(merge, "key long, context long, shorter long")
 
 
 def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total: int, z: float, pull: float):
@@ -365,19 +439,20 @@ def grow(
     train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, least_context: float = 0.0, least_symbol: float = 0.0,
     z: float = 6.0, pull: float = 20.0, least: int = 10, depth: int = DEPTH,
 ) -> tuple[DataFrame | None, int, np.ndarray | None, np.ndarray | None]:
-    """Table (key, value, n) of the tree, most words of a sequence in it, bitmaps of its words and pairs."""
+    """Table (key, value, n) of the tree, most words of a sequence in it, bitmaps of its words and pairs.
+
+    ``train`` has the hashes of words as bytes, ``vocabulary`` is (key, n)."""
     cost = float(np.log(max(total, 2)))
     few, rare = max(least, least_context * total), max(least, least_symbol * total)
-    listed = stored(
-        hashed(vocabulary.filter(F.col("n") >= min(few, rare))).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    )
+    listed = stored(vocabulary.filter(F.col("n") >= min(few, rare)).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1))))
     words, pairs, extended, symbols = bitmap(listed), None, None, None
-    values, length, part, there = [], 0, stored(hashed_texts(train)), total
+    values, length, part, there = [], 0, train, total
     while True:
         length += 1
         marks = (words, pairs, extended, symbols)
         counted = stored(count_sequences(part, length, marks, least, there))
-        named = resolve(part, length, marks, bitmap(counted))
+        let_go(counted)
+        named = stored(resolve(part, length, marks, bitmap(counted), there))
         whole = listed.select("key", "n") if length == 1 else counted
         below = listed.filter(F.col("n") >= rare) if length == 1 else listed
         met = (
@@ -387,7 +462,9 @@ def grow(
         expected = F.col("whole") * F.col("q")
         met = met.withColumn("odd", F.abs(F.col("n") - expected) > z * F.sqrt(expected + 1))
         met = stored(met.withColumn("own", (F.col("n") + pull * F.col("q")) / (F.col("whole") + pull)))
+        discard(named)
         if met.isEmpty():
+            discard(counted, met)
             break
         odd = lambda c: F.sum(F.when(F.col("odd"), c).otherwise(0.0))
         tested = met.groupBy("context").agg(
@@ -398,6 +475,7 @@ def grow(
         tested = stored(tested.filter(F.col("all") * (F.col("gain") + F.col("left") * F.log("factor")) >= F.col("kinds") * cost))
         listed = met.join(tested.select("context", "factor"), "context", "left").withColumn("own", F.when(F.col("odd") & F.col("factor").isNotNull(), F.col("own")))
         listed = stored(listed.withColumn("p", F.coalesce("own", F.col("q") * F.coalesce("factor", F.lit(1.0)))).select("key", "context", "n", "whole", "q", "p", "own", "factor"))
+        discard(counted, met)
         values.append(tested.select(F.col("context").alias("key"), F.log10("factor").alias("value"), F.col("all").alias("n")))
         values.append(listed.filter("own is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.log10("factor")).alias("value"), "n"))
         if length == 1:
@@ -411,10 +489,10 @@ def grow(
             length += 1
             break
         if length == 2:
-            texts, part = part, stored(stretches(part, length, words, pairs, extended, symbols))
-            discard(texts)
-            there = part.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
-    discard(part)
+            part = stored(stretches(part, length, words, pairs, extended, symbols))
+            there = part.agg(F.coalesce(F.sum(F.length("w")), F.lit(0))).first()[0] // 8
+    if part is not train:
+        discard(part)
     if not values:
         return None, 0, words, pairs
     table = values[0]
@@ -441,18 +519,6 @@ def extendable(listed: DataFrame, z: float, pull: float, least: int, cost: float
     return by.filter(F.col("odd") & (F.col("gain") + F.col("others") * most(q) >= cost)).select("context")
 
 
-def hashed(vocabulary: DataFrame) -> DataFrame:
-    """(key, n) of (word, n)."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            made = Hashes().of([w.encode() if w != "\n" else b"\n" for w in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), batch.column(1)], schema=schema)
-
-    return vocabulary.select("word", "n").mapInArrow(run, "key long, n long")
-
-
 def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The rows with the largest ``n``, at most ``most`` of them, and the others.
 
@@ -471,37 +537,49 @@ def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return table.filter(step >= least), table.filter(step < least)
 
 
-def frequent(vocabulary: DataFrame, most: int):
-    """The most frequent words, at most ``most``, as a pandas frame, most frequent first."""
-    return most_frequent(vocabulary, most)[0].toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
+def looked_up(table: DataFrame) -> Lookup:
+    """``key`` and ``value`` of a table of bounded size."""
+    found = table.select("key", "value").toArrow()
+    return Lookup.of(found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy())
 
 
 @dataclass
-class Values:
-    """The most frequent sequences of the tree, sorted, with their values; a bitmap of the others."""
+class Model:
+    """Root logarithms of the most frequent words, the most frequent sequences of the tree and their values; a bitmap of the others."""
 
-    keys: np.ndarray
-    values: np.ndarray
+    roots: Lookup
+    values: Lookup
     others: np.ndarray | None
     length: int
     words: np.ndarray | None
     pairs: np.ndarray | None
 
-    def of(self, w: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Sum of the values of a text's sequences that are here, and keys to look up."""
-        total, asked = 0.0, []
-        if not self.length:
-            return total, asked
-        for k, (_, keys) in enumerate(runs(w, self.words, self.pairs), 1):
-            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            there = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            total += float(self.values[at[there]].sum())
+    def of(self, w: np.ndarray, first: np.ndarray, doc: np.ndarray, n: int):
+        """For ``n`` texts, ``doc`` telling the text of each word: known words, their logarithms, sums of the values of sequences
+        that are here, and (kind, texts, keys) to look up."""
+        at = self.roots.places(w)
+        there = at >= 0
+        known, base = np.bincount(doc[there], minlength=n), np.bincount(doc[there], self.roots.values[at[there]], n)
+        ratio, asked = np.zeros(n), [(1, doc[~there], w[~there] ^ np.uint64(SALT))]
+        for k, (ends, keys) in enumerate(runs(w, self.words, self.pairs, first) if self.length else (), 1):
+            at = self.values.places(keys)
+            there = at >= 0
+            ratio += np.bincount(doc[ends[there]], self.values.values[at[there]], n)
             if self.others is not None:
-                rest = keys[~there]
-                asked.append(rest[marked(self.others, rest)])
+                ends, keys = ends[~there], keys[~there]
+                some = marked(self.others, keys)
+                asked.append((2, doc[ends[some]], keys[some]))
             if k == self.length:
                 break
-        return total, asked
+        return known, base, ratio, asked
+
+
+def times(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct keys and how often they occur."""
+    order = np.lexsort((keys, doc))
+    doc, keys = doc[order], keys[order]
+    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, np.int64)
+    return doc[starts], keys[starts], np.diff(np.r_[starts, len(keys)])
 
 
 def score(
@@ -523,72 +601,58 @@ def score(
     held_out = fold(F.col(id_col), 10) == 0 if held_out is None else held_out
     train = ~held_out if train is None else train
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), held_out.alias("held_out"), train.alias("_train"))
-    training = docs.filter("_train").select("text")
-    vocabulary = stored(count_words(training))
+    texts = stored(hashed_texts(docs.withColumn("row", F.monotonically_increasing_id())))
+    training = texts.filter("_train").select("w")
+    there = texts.filter("_train").agg(F.coalesce(F.sum(F.length("w")), F.lit(0))).first()[0] // 8
+    vocabulary = stored(count_keys(training, lambda w, _: (w,), 1, there))
+    let_go(vocabulary)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = frequent(vocabulary, head_words)
-    head = Head(top.word.tolist(), top.n.to_numpy(np.float64), int(total), int(distinct))
+    log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(total) + 0.1 * (distinct + 1)))
+    roots = looked_up(most_frequent(vocabulary, head_words)[0].select("key", F.col("n").alias("c")).select("key", log.alias("value")))
     tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol, depth=depth)
-    lookup = hashed(vocabulary).select(F.col("key").bitwiseXOR(F.lit(SALT)).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
-    model = Values(np.zeros(0, np.uint64), np.zeros(0), None, 0, None, None)
+    lookup = vocabulary.select(F.col("key").bitwiseXOR(F.lit(SALT)).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
+    model = Model(roots, Lookup.of(np.zeros(0, np.uint64), np.zeros(0)), None, 0, None, None)
     if tree is not None:
         here, others = most_frequent(tree, head_values)
-        found = here.select("key", "value").toArrow()
-        keys = found.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        model = Values(keys[order], found.column("value").to_numpy()[order], None if others.isEmpty() else bitmap(others), length, words, pairs)
+        model = Model(roots, looked_up(here), None if others.isEmpty() else bitmap(others), length, words, pairs)
         if model.others is not None:
             lookup = lookup.unionByName(others.select("key", F.lit(None).cast("long").alias("c"), "value"))
-    shared = spark.sparkContext.broadcast((head, model))
+    shared = spark.sparkContext.broadcast(model)
     names = ["row", "_id", "held_out", "key", "n", "kind", "tokens", "known", "base", "ratio"]
     id_type = docs.schema["_id"].dataType
 
     def run(batches):
-        own, model = shared.value
-        logs = own.log_root(own.counts)
-        hashes = Hashes()
-        for batch in batches:
-            heads: list[tuple] = []
-            asked_of, asked_kind, asked_keys, asked_n = [], [], [], []
-
-            def ask(row, kind, keys):
-                keys, n = np.unique(keys, return_counts=True)
-                asked_of.append(np.full(len(keys), row)), asked_kind.append(np.full(len(keys), kind, np.int32))
-                asked_keys.append(keys.view(np.int64)), asked_n.append(n)
-
-            rows = batch.column(0).to_pylist()
-            for row, text in zip(rows, batch.column(3).to_pylist()):
-                words = tokens(text)
-                codes = own.codes(words)
-                w = hashes.of(words)
-                there = codes >= 0
-                ratio, asked = model.of(w)
-                heads.append((len(codes), int(there.sum()), float(logs[codes[there]].sum()), ratio))
-                if not there.all():
-                    ask(row, 1, w[~there] ^ np.uint64(SALT))
-                for keys in asked:
-                    if len(keys):
-                        ask(row, 2, keys)
-            if not rows:
-                continue
-            n_heads, m = len(rows), sum(map(len, asked_of))
-            joined = lambda head, rest: np.concatenate([np.asarray(head), *rest])
-            behind = lambda head: np.concatenate([np.asarray(head), np.zeros(m, np.asarray(head).dtype)])
-            lengths, known, base, ratio = zip(*heads)
-            arrays = [
-                pa.array(joined(rows, asked_of), pa.int64()), pa.concat_arrays([batch.column(1), pa.nulls(m, batch.column(1).type)]),
-                pa.concat_arrays([batch.column(2), pa.nulls(m, pa.bool_())]), pa.array(joined(rows, asked_keys), pa.int64()), pa.array(joined(np.zeros(n_heads, np.int64), asked_n), pa.int64()),
-                pa.array(joined(np.zeros(n_heads, np.int32), asked_kind), pa.int32()), pa.array(behind(lengths), pa.int64()), pa.array(behind(known), pa.int64()),
-                pa.array(behind(base), pa.float64()), pa.array(behind(ratio), pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        model = shared.value
+        for whole in batches:
+            _, offsets = words_of(whole.column(3))
+            at = 0
+            while at < whole.num_rows:
+                after = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+                batch, at = whole.slice(at, after - at), after
+                w, own = words_of(batch.column(3))
+                n, w, own = batch.num_rows, w[own[0] : own[-1]], own - own[0]
+                lengths = np.diff(own)
+                doc = np.repeat(np.arange(n), lengths)
+                first = np.zeros(len(w), bool)
+                first[own[:-1]] = True  # every text has its end
+                known, base, ratio, asked = model.of(w, first, doc, n)
+                asked = [(kind, *times(doc, keys)) for kind, doc, keys in asked]
+                rows = batch.column(0).to_numpy()
+                m = sum(len(x[1]) for x in asked)
+                joined = lambda head, rest: np.concatenate([np.asarray(head), *rest])
+                behind = lambda head: np.concatenate([head, np.zeros(m, head.dtype)])
+                arrays = [
+                    pa.array(joined(rows, [rows[x[1]] for x in asked]), pa.int64()), pa.concat_arrays([batch.column(1), pa.nulls(m, batch.column(1).type)]),
+                    pa.concat_arrays([batch.column(2), pa.nulls(m, pa.bool_())]), pa.array(joined(np.zeros(n, np.int64), [x[2].view(np.int64) for x in asked]), pa.int64()),
+                    pa.array(joined(np.zeros(n, np.int64), [x[3] for x in asked]), pa.int64()), pa.array(joined(np.zeros(n, np.int32), [np.full(len(x[1]), x[0], np.int32) for x in asked]), pa.int32()),
+                    pa.array(behind(lengths), pa.int64()), pa.array(behind(known), pa.int64()), pa.array(behind(base), pa.float64()), pa.array(behind(ratio), pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     ddl = f"row long, _id {id_type.simpleString()}, held_out boolean, key long, n long, kind int, tokens long, known long, base double, ratio double"
-    parts = docs.select(F.monotonically_increasing_id().alias("row"), "_id", "held_out", "text").mapInArrow(run, ddl)
-    looked_up = parts.join(lookup, "key", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(total) + 0.1 * (distinct + 1)))
+    parts = texts.select("row", "_id", "held_out", "w").mapInArrow(giving_back(run), ddl)
     word = F.col("kind") == 1
-    sums = looked_up.groupBy("row").agg(
+    sums = parts.join(lookup, "key", "left").groupBy("row").agg(
         F.max("_id").alias("_id"),
         F.max("held_out").alias("held_out"),
         F.sum("tokens").alias("n_tokens"),

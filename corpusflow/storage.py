@@ -46,6 +46,13 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
             some = True
     if some:
-        del df, target
-        gc.collect()
-        spark._jvm.System.gc()
+        del target
+        let_go(df)
+
+
+def let_go(df: DataFrame) -> None:
+    """Have the driver give back the memory of plans that are done, and with it what they shuffled, which stays on disk until then."""
+    jvm = df.sparkSession._jvm
+    del df
+    gc.collect()
+    jvm.System.gc()

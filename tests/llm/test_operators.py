@@ -473,6 +473,34 @@ def test_lm_tree_has_no_fixed_size(spark, head_values):
             assert got[i][1] - got[i][0] == pytest.approx(ratio(w), abs=1e-6)
 
 
+def test_lm_score_cuts_each_text_once(spark, monkeypatch):
+    """Only the first step reads texts; counting and scoring cut and hashed them anew."""
+    plans = []
+
+    def seen(df, store=lm_pst.stored):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(lm_pst, "stored", seen)
+    last = lm_pst.score(table(spark, ["a b c", "a b", None, ""]))
+    plans.append(last._jdf.queryExecution().optimizedPlan().toString())
+    assert [bool(re.search(r"\btext#", p)) for p in plans] == [True] + [False] * (len(plans) - 1) and last.count() == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 4000])
+def test_lookup_and_sorted_blocks(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), np.arange(min(n, 90), dtype=np.uint64), np.full(min(n, 1), ~np.uint64(0))])
+    assert lm_pst.from_steps(lm_pst.steps(keys)).tolist() == keys.tolist()
+    assert lm_pst.from_planes(lm_pst.planes(keys.astype(np.uint32)), np.uint32).tolist() == keys.astype(np.uint32).tolist()
+    assert [i for part, x in lm_pst.cut(keys, 8) for i in range(x.start, x.stop) if int(keys[i]) >> 61 != part] == []
+    order = rng.permutation(len(keys))
+    found = lm_pst.Lookup.of(keys[order], order.astype(float))
+    asked = np.r_[keys, keys + np.uint64(3)]
+    want = {int(k): i for i, k in enumerate(keys)}
+    assert found.places(asked).tolist() == [want.get(int(k), -1) for k in asked] and found.values.tolist() == sorted(order.tolist())
+
+
 def test_words_come_in_blocks_of_bounded_size():
     sizes = [3, 0, 40, 2, 2, 2, 9, 1]
     texts = [np.arange(n, dtype=np.int64) + 100 * i for i, n in enumerate(sizes)]
