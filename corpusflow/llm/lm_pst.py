@@ -27,8 +27,10 @@ beyond that.  So the tree is one distributed table (sequence, value) and a docum
 sum over its sequences.  Sequences are named by 64-bit hashes.  Counts, tests and table stay on
 the executors; bitmaps of fixed size only spare sequences that can't count, a full one spares none.
 
-Every text is cut and hashed once; words are counted, contexts named and texts scored from the hashes,
-block by block.  For scoring, the ``head`` most frequent words and the ``head_values`` most frequent sequences of
+Every text is cut and hashed once; a block of texts is kept as its distinct hashes and a code for each word.
+Words are counted, contexts named and texts scored from these blocks.  Sequences of two and three words that are all among
+the ``HEAD`` most frequent are counted by the ranks of their words, which are short and name their context; all
+others by hashes, and the contexts of the frequent ones are named in a second pass.  For scoring, the ``head`` most frequent words and the ``head_values`` most frequent sequences of
 the table are broadcast (fixed numbers of them); the rest are looked up by a join, one row for each
 document and distinct rare word or sequence, so neither vocabulary nor tree is cut off.
 
@@ -44,6 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,19 +55,15 @@ from .common import discard, fold, giving_back, let_go, stored
 
 BITS = 26  # of the largest bitmap
 DEPTH = 6
-FLUSH = 3_000_000
-BLOCK = 250_000  # words that are handled at once
-TEXTS = 500  # that are sent at once
+FLUSH = 5_000_000
+BLOCK = 500_000  # words that are handled at once
+CUT_BYTES = 16 << 20  # of texts that are cut at once, about
+RANK_BITS = 20
+HEAD = 1 << RANK_BITS  # words with a rank
 KEYS_PER_TASK = 1_500_000
 SALT = 0x5851F42D4C957F2D  # tells keys of words from those of sequences
 
 
-def tokens(text: str | None) -> list[bytes]:
-    out = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out.append(b"\n")
-    return out
-
-
 @dataclass
 class Lookup:
     """Values of 64-bit keys, found by their upper bits."""
@@ -101,17 +100,31 @@ class Lookup:
         return out
 
 
-class Hashes(dict):
-    """64-bit hash of each word, kept for two generations at most."""
-
-    def __missing__(self, word: bytes) -> int:
-        made = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return made
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hash_of(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each of some distinct words: of eight bytes at a time or, beyond 64 bytes, of the whole word."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words) or data is None:
+        return np.zeros(len(words), np.uint64)
+    held = np.r_[np.frombuffer(data, np.uint8)[: at[-1]], np.zeros(8, np.uint8)]
+    eights = np.ndarray(len(held) - 7, np.uint64, held, strides=(1,))
+    at, left = at[:-1], np.diff(at)
+    out = longer(np.full(len(words), SALT, np.uint64), left.astype(np.uint64))
+    some = np.flatnonzero((left > 0) & (left <= 64))
+    for done in range(0, 64, 8):
+        some = some[left[some] > done]
+        if not len(some):
+            break
+        unused = np.maximum(8 - (left[some] - done), 0).astype(np.uint64) * np.uint64(8)
+        out[some] = longer(out[some], eights[at[some] + done] << unused)
+    for i in np.flatnonzero(left > 64):
+        out[i] = hash_of(held[at[i] : at[i] + left[i]].tobytes())
+    return out
 
 
 def longer(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -137,11 +150,11 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
-def runs(w: np.ndarray, words: np.ndarray, pairs: np.ndarray | None, first: np.ndarray | None = None):
-    """(ends, hashes) of the sequences of 1, 2, ... words all of whose words and pairs are marked.
+def runs(w: np.ndarray, known: np.ndarray, pairs: np.ndarray | None, first: np.ndarray | None = None):
+    """(ends, hashes) of the sequences of 1, 2, ... words all of whose words are known and whose pairs are marked.
 
     ``first`` is true where a text begins, if ``w`` holds several: no sequence crosses such a place."""
-    ends = np.flatnonzero(marked(words, w))
+    ends = np.flatnonzero(known)
     hashes = w[ends]
     linked = None
     while len(ends):
@@ -181,7 +194,7 @@ def blocks_of_words(batches, block: int = BLOCK):
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a column, and where each row's begin and end."""
-    if pa.types.is_list(column.type):
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         return column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
     if not len(column):
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
@@ -192,40 +205,101 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[: len(held) // 8 * 8].view(np.uint64), offsets // 8
 
 
-def as_bytes(w: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A row of bytes for each stretch of ``w`` between two ``offsets``."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(w))])
+def packed(w: np.ndarray, first: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+    """Of a block: number of words, lengths of the texts, distinct hashes, sorted, and how often each occurs, codes of the words by their frequency."""
+    coded = pa.array(w).dictionary_encode()
+    words = coded.dictionary.to_numpy()
+    order = np.argsort(words)
+    times = np.bincount(coded.indices.to_numpy(), minlength=len(words))[order].astype(np.uint32)
+    rank = np.empty(len(words), code_type(len(words)))
+    rank[order[by_frequency(times)]] = np.arange(len(words))
+    lengths = np.diff(np.r_[np.flatnonzero(first), len(w)]).astype(np.uint32)
+    return len(w), planes(lengths), steps(words[order]) + planes(times), planes(rank[coded.indices.to_numpy()])
 
 
-def hashed_texts(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``w``, the bytes of the hashes of their words, in place of ``text``."""
-    keep = [c for c in docs.columns if c != "text"]
-    kept = docs.select(*keep).schema
+def by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times.astype(np.int64), kind="stable")
 
-    def run(batches):
-        hashes = Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                words, ends = [], [0]
-                for text in part.column(0).to_pylist():
-                    words += tokens(text)
-                    ends.append(len(words))
-                w = as_bytes(hashes.of(words), np.array(ends, np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], w], names=[*keep, "w"])
 
-    return docs.select("text", *keep).mapInArrow(giving_back(run), T.StructType([*kept.fields, T.StructField("w", T.BinaryType())]))
+def code_type(distinct: int) -> type:
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
 
 
-def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) -> DataFrame:
-    """Arrays of the hashes of words of the stretches in which contexts of more than ``length`` words can end."""
-    shared = train.sparkSession.sparkContext.broadcast((words, pairs, extended, symbols))
+PACKED = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("lengths", "words", "codes"))])
 
+
+def blocks(batches):
+    """(distinct words, codes, where texts begin) of packed blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lengths, words, codes = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+            distinct = len(words) // 12
+            words = from_steps(words[: 8 * distinct])[by_frequency(from_planes(words[8 * distinct :], np.uint32))]
+            lengths = from_planes(lengths, np.uint32).astype(np.int64)
+            codes = from_planes(codes, code_type(distinct))
+            first = np.zeros(len(codes), bool)
+            first[np.cumsum(lengths) - lengths] = True
+            yield words, codes, first
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, and the length of each."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    kinds = found.values.dictionary_encode()
+    there = pc.binary_length(found.values).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    n = np.diff(np.r_[0, np.cumsum(there)][found.offsets.to_numpy()])
+    own = hashes_of(kinds.dictionary)
+    out = np.empty(int(n.sum()) + len(n), np.uint64)
+    last = np.zeros(len(out), bool)
+    last[np.cumsum(n + 1) - 1] = True
+    out[last] = hash_of(b"\n")
+    out[~last] = own[kinds.indices.to_numpy()[there]]
+    return out, n + 1
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """Blocks of the texts of ``docs``, apart by ``_train``, with lists of what else their rows hold."""
+    keep = [c for c in docs.columns if c not in ("text", "_train")]
+    kept = [T.StructField(c, T.ArrayType(docs.schema[c].dataType)) for c in keep]
+
+    def run(batches):
+        for batch in batches:
+            train = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False)
+            for kind in (True, False):
+                part = batch.take(pa.array(np.flatnonzero(train == kind)))
+                if not part.num_rows:
+                    continue
+                some = max(1, part.num_rows * CUT_BYTES // max(1, part.column(0).nbytes))
+                made = [hashed(part.column(0).slice(at, some)) for at in range(0, part.num_rows, some)]
+                w, lengths = (np.concatenate(x) for x in zip(*made))
+                made.clear()
+                w = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(lengths)], pa.array(w.view(np.int64)))
+                at = 0
+                for own, first in blocks_of_words([pa.RecordBatch.from_arrays([w], names=["w"])]):
+                    n = int(first.sum())
+                    lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.concat_arrays([c.slice(at, n)])) for c in part.columns[2:]]
+                    at += n
+                    columns = [pa.array([x], t) for x, t in zip(packed(own, first), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind]), *columns, *lists], names=["_train", *PACKED.names, *keep])
+
+    return docs.select("text", "_train", *keep).mapInArrow(giving_back(run), T.StructType([T.StructField("_train", T.BooleanType()), *PACKED.fields, *kept]))
+
+
+def stretches(train: DataFrame, length: int, shared) -> DataFrame:
+    """Blocks of the stretches in which contexts of more than ``length`` words can end."""
     def run(batches):
         words, pairs, extended, symbols = shared.value
-        for w, begins in blocks_of_words(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def made():
+            columns = [pa.array([x], t) for x, t in zip(packed(*map(np.concatenate, zip(*held))), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=PACKED.names)
+
+        for kinds, codes, begins in blocks(batches):
+            w = kinds[codes]
             first, last = np.ones(len(w), bool), np.zeros(len(w), bool)
-            for k, (ends, keys) in enumerate(runs(w, words, pairs, begins), 1):
+            for k, (ends, keys) in enumerate(runs(w, marked(words, kinds)[codes], pairs, begins), 1):
                 if k == 2:
                     first[ends] = False
                 if k == length:
@@ -237,38 +311,92 @@ def stretches(train: DataFrame, length: int, words, pairs, extended, symbols) ->
             if len(ends):
                 chain = np.searchsorted(starts, ends, "right") - 1
                 final = np.r_[chain[1:] != chain[:-1], True]
-                out = [w[starts[c] : e + 1].tobytes() for c, e in zip(chain[final], ends[final])]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
+                step = np.zeros(len(w) + 1, np.int8)
+                step[starts[chain[final]]] += 1
+                step[ends[final] + 1] -= 1
+                inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+                held.append((w[inside], first[inside]))
+                size += len(held[-1][0])
+            if size > BLOCK:
+                yield made()
+                held, size = [], 0
+        if size:
+            yield made()
 
-    return train.mapInArrow(giving_back(run), "w binary")
+    return train.mapInArrow(giving_back(run), PACKED)
 
 
-def sequences(w: np.ndarray, first: np.ndarray, length: int, words, pairs, extended, listed):
-    """(sequences of ``length`` words and a symbol, their contexts, the same without the first word, contexts alone).
+def sequences(kinds: np.ndarray, codes: np.ndarray, first: np.ndarray, length: int, words, pairs, extended, listed):
+    """(ends of sequences of ``length`` words and a symbol, the sequences, their contexts, the same without the first word, contexts alone).
 
-    Beyond one word only symbols that the shorter context lists count, and contexts whose ends are marked in ``extended``."""
-    none = np.zeros(0, np.uint64)
+    Contexts alone of two words are sequences of one and a symbol, which are counted before.  Beyond one word only symbols that the shorter context lists count, and contexts whose ends are marked in ``extended``."""
+    none, nowhere = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    w = kinds[codes]
     levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for k, level in enumerate(runs(w, words, pairs, first), 1):
+    for k, level in enumerate(runs(w, marked(words, kinds)[codes], pairs, first), 1):
         levels = [*levels, level][-3:]
         if k == length + 1:
             break
     else:
         k = len(levels) and k
     if k < length:
-        return none, none, none, none
+        return nowhere, none, none, none, none
     if k == length:
-        levels.append((np.zeros(0, np.int64), none))
+        levels.append((nowhere, none))
     (ends, own), (gram_ends, grams) = levels[-2:]
     at = np.zeros(len(w), np.uint64)
     at[ends] = own
     if length == 1:
-        return grams, at[gram_ends - 1], at[gram_ends], none
+        return gram_ends, grams, at[gram_ends - 1], at[gram_ends], none
     last = np.zeros(len(w), np.uint64)
     last[levels[-3][0]] = levels[-3][1]
     short = at[gram_ends]
     ok = marked(listed, short)
-    return grams[ok], at[gram_ends[ok] - 1], short[ok], own[marked(extended, last[ends])]
+    return gram_ends[ok], grams[ok], at[gram_ends[ok] - 1], short[ok], none if length == 2 else own[marked(extended, last[ends])]
+
+
+@dataclass
+class Ranks:
+    """Ranks of the most frequent words.  Two or three of them make a number whose upper bits, the range, are even for all words:
+    there are the lower bits of the sum of the ranks, and the last rank goes without its lower bits."""
+
+    of_words: Lookup
+    words: np.ndarray
+
+    def of(self, words: np.ndarray, codes: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+        """Ranks of the words of each sequence, a row for each place in it; -1 for words without."""
+        at = self.of_words.places(words)
+        rank = np.full(len(words), -1, np.int64)
+        rank[at >= 0] = self.of_words.values[at[at >= 0]]
+        return np.stack([rank[codes[ends - k]] for k in range(length, -1, -1)])
+
+    @staticmethod
+    def number(ranks: np.ndarray, bits: int) -> np.ndarray:
+        whole = np.zeros(ranks.shape[1], np.uint64)
+        for r in ranks:
+            whole = whole << np.uint64(RANK_BITS) | r.astype(np.uint64)
+        return ranks.sum(axis=0).astype(np.uint64) << np.uint64(64 - bits) | whole >> np.uint64(bits)
+
+    @staticmethod
+    def ranks(numbers: np.ndarray, length: int, bits: int) -> np.ndarray:
+        whole = (numbers & np.uint64((1 << (64 - bits)) - 1)) << np.uint64(bits)
+        out = np.stack([whole >> np.uint64(RANK_BITS * k) & np.uint64(HEAD - 1) for k in range(length, -1, -1)])
+        out[-1] |= (numbers >> np.uint64(64 - bits)) - out.sum(axis=0) & np.uint64((1 << bits) - 1)
+        return out.astype(np.int64)
+
+    def hashes(self, numbers: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the sequences, of their contexts and without the first word."""
+        w = self.words[self.ranks(numbers, length, bits)]
+        join = lambda part: part[0] if len(part) == 1 else longer(join(part[:-1]), part[-1])
+        return join(w), join(w[:-1]), join(w[1:])
+
+
+def ranks_of(listed: DataFrame, most: int) -> tuple[Ranks, bool]:
+    """Ranks of at most ``most`` words, and whether these are all."""
+    here, others = most_frequent(listed, most)
+    found = here.select("key", "n").toArrow()
+    words = found.column("key").to_numpy().view(np.uint64)[np.argsort(-found.column("n").to_numpy(), kind="stable")]
+    return Ranks(Lookup.of(words, np.arange(len(words), dtype=np.int32)), words), others.isEmpty()
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -291,7 +419,7 @@ def from_steps(held: bytes) -> np.ndarray:
 
 
 def ranges_for(words_there: int) -> int:
-    return 1 << max(3, int(words_there / KEYS_PER_TASK).bit_length())
+    return 1 << min(RANK_BITS, max(3, int(words_there / KEYS_PER_TASK).bit_length()))
 
 
 def cut(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
@@ -300,68 +428,89 @@ def cut(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     return [(i, slice(cuts[i], cuts[i + 1])) for i in range(ranges) if cuts[i] < cuts[i + 1]]
 
 
-def count_keys(frame: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], Iterable[np.ndarray]], least: int, words_there: int) -> DataFrame:
-    """(key, n) of the keys of all blocks that occur at least ``least`` times.
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(n, starts)
+
 
+def count_keys(
+    frame: DataFrame, keys_of: Callable[..., Iterable[tuple]], least: int, words_there: int,
+    named: Callable[[np.ndarray], tuple] | None = None,
+) -> DataFrame:
+    """(key, n, context, shorter) of the keys of all blocks that occur at least ``least`` times.
+
+    ``keys_of`` gives (whether numbers of ranks, keys, counts or None) of a block; ``named`` makes of numbers of ranks their keys, contexts and
+    the keys without the first word, which are null for other keys.
     Keys are counted block by block, and a block's counts go to the reducers as a few sorted arrays, one for each range of
     keys: what is shuffled is less than eight bytes a key, and no row is made of a key that is not frequent."""
     ranges = ranges_for(words_there)
-    out = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    out = pa.schema([("range", pa.int32()), ("ranked", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
-        held: list[np.ndarray] = []
+        held: dict[bool, list[tuple]] = {}
         size = 0
 
         def made():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            parts, n = cut(keys, ranges), n.astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([steps(keys[x]) for _, x in parts], pa.binary()), pa.array([planes(n[x]) for _, x in parts], pa.binary())], schema=out)
-
-        for w, first in blocks_of_words(batches):
-            for keys in keys_of(w, first):
-                held.append(keys)
+            for ranked, some in held.items():
+                keys, n = zip(*some)
+                keys, n = np.unique(np.concatenate(keys), return_counts=True) if n[0] is None else summed(np.concatenate(keys), np.concatenate(n))
+                parts, n = cut(keys, ranges), n.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in parts], pa.int32()), pa.array([ranked] * len(parts), pa.bool_()), pa.array([steps(keys[x]) for _, x in parts], pa.binary()), pa.array([planes(n[x]) for _, x in parts], pa.binary())],
+                    schema=out,
+                )
+
+        for block in blocks(batches):
+            for ranked, keys, n in keys_of(*block):
+                held.setdefault(ranked, []).append((keys, n))
                 size += len(keys)
             if size > FLUSH:
-                yield made()
-                held, size = [], 0
+                yield from made()
+                held.clear()
+                size = 0
         if size:
-            yield made()
+            yield from made()
 
     def merge(batches):
-        keys, counts = [], []
+        held: dict[bool, list[tuple]] = {}
         for batch in batches:
-            keys += map(from_steps, batch.column(1).to_pylist())
-            counts += [from_planes(x, np.uint32) for x in batch.column(2).to_pylist()]
-        if keys:
-            key, n = np.concatenate(keys), np.concatenate(counts)
-            keys.clear(), counts.clear()
-            order = np.argsort(key)
-            key, n = key[order], n[order].astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.add.reduceat(n, starts)
-            kept = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(key[starts][kept].view(np.int64)), pa.array(n[kept])], names=["key", "n"])
+            for ranked, keys, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                held.setdefault(ranked, []).append((from_steps(keys), from_planes(n, np.uint32)))
+        for ranked in list(held):
+            key, n = summed(*map(np.concatenate, zip(*held.pop(ranked))))
+            key, n = key[n >= least], n[n >= least]
+            columns = named(key) if ranked else (key, None, None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(n), pa.int64()) if c is None else pa.array(c.view(np.int64)) for c in (columns[0], n, *columns[1:])], names=["key", "n", "context", "shorter"]
+            )
 
-    blobs = frame.mapInArrow(giving_back(count), "range int, keys binary, counts binary")
-    return blobs.repartition(ranges, "range").mapInArrow(merge, "key long, n long")
+    blobs = frame.select(*PACKED.names).mapInArrow(giving_back(count), "range int, ranked boolean, keys binary, counts binary")
+    return blobs.repartition(ranges, "range").mapInArrow(giving_back(merge), "key long, n long, context long, shorter long")
 
 
-def count_sequences(train: DataFrame, length: int, marks: tuple, least: int, words_there: int) -> DataFrame:
-    """(key, n) of the sequences, and of contexts alone, that occur at least ``least`` times in texts or stretches."""
-    shared = train.sparkSession.sparkContext.broadcast(marks)
+def count_sequences(train: DataFrame, length: int, shared, least: int, words_there: int, shared_ranks) -> DataFrame:
+    """(key, n, context, shorter) of the sequences, and of contexts alone, that occur at least ``least`` times in texts or stretches."""
+    bits = ranges_for(words_there).bit_length() - 1
 
-    def keys_of(w, first):
-        grams, _, _, alone = sequences(w, first, length, *shared.value)
-        return grams, alone
+    def keys_of(words, codes, first):
+        ends, grams, _, _, alone = sequences(words, codes, first, length, *shared.value)
+        if length <= 2:
+            ranks = shared_ranks.value.of(words, codes, ends, length)
+            ok = (ranks >= 0).all(axis=0)
+            yield True, Ranks.number(ranks[:, ok], bits), None
+            grams = grams[~ok]
+        yield False, grams, None
+        yield False, alone, None
 
-    return count_keys(train, keys_of, least, words_there)
+    return count_keys(train, keys_of, least, words_there, lambda numbers: shared_ranks.value.hashes(numbers, length, bits))
 
 
-def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray, words_there: int) -> DataFrame:
-    """(key, context, shorter) of the sequences marked in ``frequent``.  As the keys, they go to the reducers in sorted arrays.
+def resolve(train: DataFrame, length: int, shared, shared_frequent, words_there: int, shared_ranks) -> DataFrame:
+    """(key, context, shorter) of the sequences counted by hashes and marked in ``frequent``.  As the keys, they go to the reducers in sorted arrays.
 
     A key isn't sent: it is made of its context and last word, and behind one word that is the shorter sequence."""
-    shared = train.sparkSession.sparkContext.broadcast((marks, frequent))
     ranges = ranges_for(words_there)
     out = pa.schema([("range", pa.int32()), ("contexts", pa.binary()), ("keys", pa.binary()), ("shorter", pa.binary())])
 
@@ -370,7 +519,7 @@ def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray, w
         return keys, *(x[at] for x in more)
 
     def run(batches):
-        marks, frequent = shared.value
+        marks, frequent = shared.value, shared_frequent.value
         held: list[tuple] = []
         size = 0
 
@@ -382,9 +531,11 @@ def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray, w
                 rows.append((i, steps(context[x][order]), planes(keys[x][order]) if length > 1 else b"", planes(short[x][order])))
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
 
-        for w, first in blocks_of_words(batches):
-            grams, context, short, _ = sequences(w, first, length, *marks)
+        for words, codes, first in blocks(batches):
+            ends, grams, context, short, _ = sequences(words, codes, first, length, *marks)
             ok = marked(frequent, grams)
+            if length <= 2:
+                ok &= (shared_ranks.value.of(words, codes, ends, length) < 0).any(axis=0)
             if ok.any():
                 held.append(distinct(grams[ok], context[ok], short[ok]))
                 size += len(held[-1][0])
@@ -403,7 +554,7 @@ def resolve(train: DataFrame, length: int, marks: tuple, frequent: np.ndarray, w
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in distinct(*map(np.concatenate, zip(*found)))], names=["key", "context", "shorter"])
 
-    blobs = train.mapInArrow(giving_back(run), "range int, contexts binary, keys binary, shorter binary")
+    blobs = train.select(*PACKED.names).mapInArrow(giving_back(run), "range int, contexts binary, keys binary, shorter binary")
     return blobs.repartition(ranges, "range").mapInArrow(merge, "key long, context long, shorter long")
 
 
@@ -437,32 +588,42 @@ def kept_contexts(codes, n, size: int, context_counts: np.ndarray, suffix, total
 
 def grow(
     train: DataFrame, vocabulary: DataFrame, total: int, distinct: int, least_context: float = 0.0, least_symbol: float = 0.0,
-    z: float = 6.0, pull: float = 20.0, least: int = 10, depth: int = DEPTH,
+    z: float = 6.0, pull: float = 20.0, least: int = 10, depth: int = DEPTH, head: int = HEAD,
 ) -> tuple[DataFrame | None, int, np.ndarray | None, np.ndarray | None]:
     """Table (key, value, n) of the tree, most words of a sequence in it, bitmaps of its words and pairs.
 
-    ``train`` has the hashes of words as bytes, ``vocabulary`` is (key, n)."""
+    ``train`` has packed blocks, ``vocabulary`` is (key, n)."""
     cost = float(np.log(max(total, 2)))
     few, rare = max(least, least_context * total), max(least, least_symbol * total)
     listed = stored(vocabulary.filter(F.col("n") >= min(few, rare)).withColumn("p", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1))))
     words, pairs, extended, symbols = bitmap(listed), None, None, None
-    values, length, part, there = [], 0, train, total
+    ranks, all_ranked = ranks_of(listed, head)
+    broadcast = train.sparkSession.sparkContext.broadcast
+    ranks, marks = broadcast(ranks), broadcast((words, pairs, extended, symbols))
+    used = [ranks, marks]  # each executor keeps a copy on disk until they are destroyed
+    values, spent, before, length, part, there = [], [listed], None, 0, train, total
     while True:
         length += 1
-        marks = (words, pairs, extended, symbols)
-        counted = stored(count_sequences(part, length, marks, least, there))
+        counted = stored(count_sequences(part, length, marks, least, there, ranks))
         let_go(counted)
-        named = stored(resolve(part, length, marks, bitmap(counted), there))
-        whole = listed.select("key", "n") if length == 1 else counted
+        grams, named = counted.filter("context is not null"), None
+        if length > 2 or not all_ranked:
+            unnamed = counted.filter("context is null").select("key", "n")
+            frequent = broadcast(bitmap(unnamed))
+            named = stored(resolve(part, length, marks, frequent, there, ranks))
+            frequent.destroy()
+            grams = grams.unionByName(unnamed.join(named, "key"))
+        whole = (listed if length == 1 else before if length == 2 else counted).select("key", "n")
         below = listed.filter(F.col("n") >= rare) if length == 1 else listed
         met = (
-            counted.join(named, "key").join(below.select(F.col("key").alias("shorter"), F.col("p").alias("q")), "shorter")
+            grams.join(below.select(F.col("key").alias("shorter"), F.col("p").alias("q")), "shorter")
             .join(whole.filter(F.col("n") >= few).select(F.col("key").alias("context"), F.col("n").alias("whole")), "context")
         )
+        met = met.drop("shorter")
         expected = F.col("whole") * F.col("q")
         met = met.withColumn("odd", F.abs(F.col("n") - expected) > z * F.sqrt(expected + 1))
         met = stored(met.withColumn("own", (F.col("n") + pull * F.col("q")) / (F.col("whole") + pull)))
-        discard(named)
+        discard(*[x for x in (named, before) if x is not None])
         if met.isEmpty():
             discard(counted, met)
             break
@@ -475,7 +636,9 @@ def grow(
         tested = stored(tested.filter(F.col("all") * (F.col("gain") + F.col("left") * F.log("factor")) >= F.col("kinds") * cost))
         listed = met.join(tested.select("context", "factor"), "context", "left").withColumn("own", F.when(F.col("odd") & F.col("factor").isNotNull(), F.col("own")))
         listed = stored(listed.withColumn("p", F.coalesce("own", F.col("q") * F.coalesce("factor", F.lit(1.0)))).select("key", "context", "n", "whole", "q", "p", "own", "factor"))
-        discard(counted, met)
+        spent += [tested, listed]
+        before = counted if length == 1 else None
+        discard(met, *([] if length == 1 else [counted]))
         values.append(tested.select(F.col("context").alias("key"), F.log10("factor").alias("value"), F.col("all").alias("n")))
         values.append(listed.filter("own is not null").select("key", (F.log10(F.col("p") / F.col("q")) - F.log10("factor")).alias("value"), "n"))
         if length == 1:
@@ -484,21 +647,34 @@ def grow(
             length += 1
             break
         worth = stored(extendable(listed, z, pull, least, cost))
+        spent.append(worth)
         extended, symbols = bitmap(worth.select(F.col("context").alias("key"))), bitmap(listed.join(worth, "context", "left_semi"))
         if not symbols.any():
             length += 1
             break
-        if length == 2:
-            part = stored(stretches(part, length, words, pairs, extended, symbols))
-            there = part.agg(F.coalesce(F.sum(F.length("w")), F.lit(0))).first()[0] // 8
+        used.pop().destroy()
+        marks = broadcast((words, pairs, extended, symbols))
+        used.append(marks)
+        if length >= 2:
+            whole_part, part = part, stored(stretches(part.select(*PACKED.names), length, marks))
+            there = part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if whole_part is not train:
+                discard(whole_part)
+    for x in used:
+        x.destroy()
     if part is not train:
         discard(part)
+    if before is not None:
+        discard(before)
     if not values:
+        discard(*spent)
         return None, 0, words, pairs
     table = values[0]
     for more in values[1:]:
         table = table.unionByName(more)
-    return stored(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))), length, words, pairs
+    table = stored(table.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")))
+    discard(*spent)
+    return table, length, words, pairs
 
 
 def extendable(listed: DataFrame, z: float, pull: float, least: int, cost: float) -> DataFrame:
@@ -554,15 +730,16 @@ class Model:
     words: np.ndarray | None
     pairs: np.ndarray | None
 
-    def of(self, w: np.ndarray, first: np.ndarray, doc: np.ndarray, n: int):
-        """For ``n`` texts, ``doc`` telling the text of each word: known words, their logarithms, sums of the values of sequences
+    def of(self, words: np.ndarray, codes: np.ndarray, first: np.ndarray, doc: np.ndarray, n: int):
+        """For ``n`` texts of a block, ``doc`` telling the text of each word: known words, their logarithms, sums of the values of sequences
         that are here, and (kind, texts, keys) to look up."""
-        at = self.roots.places(w)
+        w, at = words[codes], self.roots.places(words)[codes]
         there = at >= 0
         known, base = np.bincount(doc[there], minlength=n), np.bincount(doc[there], self.roots.values[at[there]], n)
         ratio, asked = np.zeros(n), [(1, doc[~there], w[~there] ^ np.uint64(SALT))]
-        for k, (ends, keys) in enumerate(runs(w, self.words, self.pairs, first) if self.length else (), 1):
-            at = self.values.places(keys)
+        first_places = self.values.places(words)
+        for k, (ends, keys) in enumerate(runs(w, marked(self.words, words)[codes], self.pairs, first) if self.length else (), 1):
+            at = first_places[codes[ends]] if k == 1 else self.values.places(keys)
             there = at >= 0
             ratio += np.bincount(doc[ends[there]], self.values.values[at[there]], n)
             if self.others is not None:
@@ -593,23 +770,27 @@ def score(
     least_symbol: float = 0.0,
     head_values: int = 1_000_000,
     depth: int = DEPTH,
+    head_ranks: int = HEAD,
 ) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score (root only) and score of every row; ``held_out`` defaults
     to the ids whose crc32 modulo 10 is 0, ``train`` to the others.  Contexts and symbols below a share of
-    ``least_context`` or ``least_symbol`` are left out; by default none is.  Contexts have at most ``depth`` words."""
+    ``least_context`` or ``least_symbol`` are left out; by default none is.  Contexts have at most ``depth`` words.
+    The three ``head`` parameters only bound what workers hold."""
+    if head_ranks > HEAD:
+        raise ValueError(f"at most {HEAD} words have a rank")
     spark = df.sparkSession
     held_out = fold(F.col(id_col), 10) == 0 if held_out is None else held_out
     train = ~held_out if train is None else train
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), held_out.alias("held_out"), train.alias("_train"))
     texts = stored(hashed_texts(docs.withColumn("row", F.monotonically_increasing_id())))
-    training = texts.filter("_train").select("w")
-    there = texts.filter("_train").agg(F.coalesce(F.sum(F.length("w")), F.lit(0))).first()[0] // 8
-    vocabulary = stored(count_keys(training, lambda w, _: (w,), 1, there))
+    training = texts.filter("_train").select(*PACKED.names)
+    there = training.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    vocabulary = stored(count_keys(training, lambda words, codes, _: [(False, words, np.bincount(codes, minlength=len(words)))], 1, there).select("key", "n"))
     let_go(vocabulary)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(total) + 0.1 * (distinct + 1)))
     roots = looked_up(most_frequent(vocabulary, head_words)[0].select("key", F.col("n").alias("c")).select("key", log.alias("value")))
-    tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol, depth=depth)
+    tree, length, words, pairs = grow(training, vocabulary, int(total), int(distinct), least_context, least_symbol, depth=depth, head=head_ranks)
     lookup = vocabulary.select(F.col("key").bitwiseXOR(F.lit(SALT)).alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
     model = Model(roots, Lookup.of(np.zeros(0, np.uint64), np.zeros(0)), None, 0, None, None)
     if tree is not None:
@@ -623,34 +804,27 @@ def score(
 
     def run(batches):
         model = shared.value
-        for whole in batches:
-            _, offsets = words_of(whole.column(3))
-            at = 0
-            while at < whole.num_rows:
-                after = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-                batch, at = whole.slice(at, after - at), after
-                w, own = words_of(batch.column(3))
-                n, w, own = batch.num_rows, w[own[0] : own[-1]], own - own[0]
-                lengths = np.diff(own)
-                doc = np.repeat(np.arange(n), lengths)
-                first = np.zeros(len(w), bool)
-                first[own[:-1]] = True  # every text has its end
-                known, base, ratio, asked = model.of(w, first, doc, n)
+        for batch in batches:
+            for i, (words, codes, first) in enumerate(blocks([batch])):
+                doc, lengths = np.cumsum(first) - 1, np.diff(np.r_[np.flatnonzero(first), len(first)])
+                n = len(lengths)
+                known, base, ratio, asked = model.of(words, codes, first, doc, n)
                 asked = [(kind, *times(doc, keys)) for kind, doc, keys in asked]
-                rows = batch.column(0).to_numpy()
+                row, ids, held = (batch.column(k)[i].values for k in (4, 5, 6))
+                rows = row.to_numpy()
                 m = sum(len(x[1]) for x in asked)
                 joined = lambda head, rest: np.concatenate([np.asarray(head), *rest])
                 behind = lambda head: np.concatenate([head, np.zeros(m, head.dtype)])
                 arrays = [
-                    pa.array(joined(rows, [rows[x[1]] for x in asked]), pa.int64()), pa.concat_arrays([batch.column(1), pa.nulls(m, batch.column(1).type)]),
-                    pa.concat_arrays([batch.column(2), pa.nulls(m, pa.bool_())]), pa.array(joined(np.zeros(n, np.int64), [x[2].view(np.int64) for x in asked]), pa.int64()),
+                    pa.array(joined(rows, [rows[x[1]] for x in asked]), pa.int64()), pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
+                    pa.concat_arrays([held, pa.nulls(m, pa.bool_())]), pa.array(joined(np.zeros(n, np.int64), [x[2].view(np.int64) for x in asked]), pa.int64()),
                     pa.array(joined(np.zeros(n, np.int64), [x[3] for x in asked]), pa.int64()), pa.array(joined(np.zeros(n, np.int32), [np.full(len(x[1]), x[0], np.int32) for x in asked]), pa.int32()),
                     pa.array(behind(lengths), pa.int64()), pa.array(behind(known), pa.int64()), pa.array(behind(base), pa.float64()), pa.array(behind(ratio), pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     ddl = f"row long, _id {id_type.simpleString()}, held_out boolean, key long, n long, kind int, tokens long, known long, base double, ratio double"
-    parts = texts.select("row", "_id", "held_out", "w").mapInArrow(giving_back(run), ddl)
+    parts = texts.select(*PACKED.names, "row", "_id", "held_out").mapInArrow(giving_back(run), ddl)
     word = F.col("kind") == 1
     sums = parts.join(lookup, "key", "left").groupBy("row").agg(
         F.max("_id").alias("_id"),

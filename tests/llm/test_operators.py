@@ -487,6 +487,56 @@ def test_lm_score_cuts_each_text_once(spark, monkeypatch):
     assert [bool(re.search(r"\btext#", p)) for p in plans] == [True] + [False] * (len(plans) - 1) and last.count() == 4
 
 
+@pytest.mark.parametrize("head_ranks", [1 << 20, 6])
+def test_lm_counts_by_ranks_what_it_can(spark, monkeypatch, head_ranks):
+    """Contexts of one and two frequent words need no pass that names them, texts and stretches no row each; the others are counted as before."""
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["la li lo one", "lo li lo two", "la ka li lo two", f"w{rng.randrange(9)}"]) for _ in range(25)) for _ in range(90)] + [None, ""]
+    words = [(t or "").encode().split() + [b"\n"] for t in texts]
+    train = [w for i, w in enumerate(words) if fold_of(i, 10)]
+    count = collections.Counter(x for w in train for x in w)
+    total = sum(count.values())
+    root = {x: (count[x] + 0.1) / (total + 0.1 * (len(count) + 1)) for w in words for x in w}
+    own, ratio = plain_tree(train, root, total)
+    assert max(map(len, own)) <= 6
+    named, rows = [], {}
+
+    def resolved(train, length, *more, f=lm_pst.resolve):
+        named.append(length)
+        return f(train, length, *more)
+
+    def seen(df, store=lm_pst.stored):
+        out = store(df)
+        if "codes" in out.columns or "w" in out.columns:
+            rows[len(rows)] = out.count()
+        return out
+
+    monkeypatch.setattr(lm_pst, "resolve", resolved)
+    monkeypatch.setattr(lm_pst, "stored", seen)
+    got = by_id(lm_pst.score(table(spark, texts).coalesce(1), **({} if head_ranks > 6 else {"head_ranks": head_ranks})), "base_score", "score")
+    assert named and (min(named) > 2) == (head_ranks > 6)
+    assert len(rows) > 1 and all(n <= 2 for n in rows.values())
+    for i, w in enumerate(words):
+        assert got[i][1] - got[i][0] == pytest.approx(ratio(w), abs=1e-6)
+
+
+def test_lm_words_are_hashed_as_they_are_cut():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \tZ\u00e9\x0b\x1c\xa0\n") for _ in range(rng.randrange(30))) for _ in range(300)] + [None, "", " ", "\0", "\0\0", "a\0", *("x" * n for n in (7, 8, 9, 16, 63, 64, 65, 66, 200))]
+    w, lengths = lm_pst.hashed(pa.array(texts))
+    want = [x for t in texts for x in (t or "").encode().lower().split() + [b"\n"]]
+    assert len(w) == len(want) == lengths.sum() and len(set(want)) == len(set(w.tolist())) == len(set(zip(want, w.tolist())))
+    first = np.zeros(len(w), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    block = pa.RecordBatch.from_arrays([pa.array([x]) for x in lm_pst.packed(w, first)], names=lm_pst.PACKED.names)
+    ((words, codes, begins),) = lm_pst.blocks([block])
+    assert (words[codes] == w).all() and (begins == first).all()
+    for length, bits in ((1, 3), (2, 7), (2, 20)):
+        ranks = np.random.default_rng(bits).integers(0, lm_pst.HEAD, (length + 1, 500))
+        ranks[:, :2] = [0, lm_pst.HEAD - 1]
+        assert (lm_pst.Ranks.ranks(lm_pst.Ranks.number(ranks, bits), length, bits) == ranks).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 4000])
 def test_lookup_and_sorted_blocks(n):
     rng = np.random.default_rng(n)
